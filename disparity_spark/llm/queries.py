@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, license_scan, mixing, packing, secret_scan, shingle_join, topk, toxicity, vector_neardup
+from . import chat, license_scan, mixing, packing, secret_scan, shingle_join, suffix_dedup, topk, toxicity, vector_neardup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_mix_sources": mixing.query,
     "op3_shingle_join": shingle_join.query,
     "op4_secret_scan": secret_scan.query,
