@@ -119,7 +119,7 @@ def redact(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_
         for texts in batches:
             yield texts.map(lambda t: None if t is None else redacted(t, all_spans(t, encoding, limit)[1]))
 
-    clean = F.pandas_udf(clean, "string", F.PandasUDFType.SCALAR_ITER)
+    clean = F.pandas_udf(clean, "string")
     out = docs.withColumn("text", clean(F.col("text")))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
