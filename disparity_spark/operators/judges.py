@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,16 +139,13 @@ SCORE = "label string, confidence double, rationale string, judge_id string, mod
 
 def judged(df: DataFrame, judge: Judge, text: str = "text") -> DataFrame:
     """df with label, confidence, rationale, judge_id, model_id and unscored; scored in batches on the executors."""
-    import pandas as pd
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             scores = judge.score([t or "" for t in texts])
             yield pd.DataFrame({k: [getattr(s, k) for s in scores] for k in ("label", "confidence", "rationale", "judge_id", "model_id", "unscored")})
 
-    from pyspark.sql.functions import PandasUDFType
-
-    udf = F.pandas_udf(run, SCORE, PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(run, SCORE)
     return df.withColumn("__s", udf(F.col(text))).select(*df.columns, "__s.*")
 
 
