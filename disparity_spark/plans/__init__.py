@@ -1,4 +1,6 @@
 """Registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import audits, campaigns, synthetics
+
+QUERIES = audits.QUERIES | synthetics.QUERIES | campaigns.QUERIES
+ORACLES = audits.ORACLES | synthetics.ORACLES | campaigns.ORACLES
