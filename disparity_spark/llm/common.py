@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many narrow rows may be broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: A table of at most this many narrow rows, or ids alone, may be broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_IDS = 50_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join with a table that is usually short: broadcast behind a row count, by shuffle beyond BROADCAST_ROWS."""
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a table that is usually short: broadcast behind a row count, by shuffle beyond `most` rows."""
     rows = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+    return big.join(F.broadcast(small) if rows <= most else small, on, how)
+
+
+def only(big: DataFrame, ids: DataFrame, on: str, rows: int | None = None) -> DataFrame:
+    """The rows of big whose id is among ids (one column of longs): 8 MB at most are broadcast, more are shuffled."""
+    return join_small(big, ids, on, "left_semi", rows, BROADCAST_IDS)
 
 
 def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:

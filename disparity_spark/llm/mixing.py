@@ -78,8 +78,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED
 
 def take_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a document comes as many times as it has whole copies, with its own columns."""
-    counts = mix(docs, **options).filter("n_copies > 0").groupBy("doc_id").agg(F.max("n_copies").alias("__copies"))
-    joined = docs.join(counts, "doc_id")
+    counts = mix(docs, **options).filter("n_copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_copies").alias("__copies"))
+    joined = common.join_small(docs, common.staged(counts, "mix-copies"), F.col("doc_id").eqNullSafe(F.col("__id")), most=common.BROADCAST_IDS)  # 12 bytes a row
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

@@ -147,3 +147,4 @@ def test_take_documents_repeats_rows(spark):
     counts = {r.doc_id: r["count"] for r in mixing.take_documents(df).groupBy("doc_id").count().collect()}
     assert counts == {1: 1, 2: 2} or counts.get(2, 0) <= 3
     assert mixing.take_documents(df).filter(F.col("text").isNull()).count() == 0
+    assert mixing.take_documents(frame(spark, [(None, "a b", "s0")])).count() == 1  # a null id is an id like others
