@@ -22,15 +22,20 @@ from . import common
 #: Bytes that separate words; the rest, upper case included before lowering, belongs to them.
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 TO_WORDS = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
-BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+#: label, keyword, words of the base phrases.
+BASE = (("mit", "mit", "under the mit license"), ("apache-2", "apache", "apache license version 2"), ("cc-by-nc", "cc by", "cc by nc"))
 
 #: label, keyword that gates its rules, and the ways its name is written, as words.
 NAMES = (
-    ("mit", "mit", r"mit|mit x11|expat"),
-    ("mit-0", "attribution", r"mit no attribution|mit 0"),
-    ("apache-1", "apache", r"apache 1 [01]|apache (?:software )?licen[sc]e(?: version)? 1 [01]|asl 1 [01]"),
-    ("apache-2", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?|asl 2 0|apache 2"),
-    ("bsd-0", "bsd", r"0bsd|bsd zero clause|zero clause bsd"),
+    ("mit", "mit", r"mit|mit x11"),
+    ("mit", "expat", r"expat"),
+    ("mit-0", "mit", r"mit no attribution|mit 0"),
+    ("apache-1", "apache", r"apache 1 [01]|apache (?:software )?licen[sc]e(?: version)? 1 [01]"),
+    ("apache-1", "asl", r"asl 1 [01]"),
+    ("apache-2", "asl", r"asl 2 0"),
+    ("apache-2", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("bsd-0", "0bsd", r"0bsd"),
+    ("bsd-0", "bsd", r"bsd zero clause|zero clause bsd"),
     ("bsd-2", "bsd", r"bsd 2(?: clause)?|2 clause bsd|two clause bsd|simplified bsd|freebsd"),
     ("bsd-3", "bsd", r"bsd 3(?: clause)?|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd"),
     ("bsd-4", "bsd", r"bsd 4(?: clause)?|4 clause bsd|four clause bsd|original bsd"),
@@ -58,13 +63,14 @@ NAMES = (
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib|zlib libpng"),
     ("libpng", "libpng", r"libpng(?: 2 0)?"),
-    ("boost", "boost", r"boost(?: software)?(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?|bsl 1 0"),
+    ("boost", "boost", r"boost(?: software)?(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("artistic-1", "artistic", r"artistic(?: licen[sc]e)? 1(?: 0)?"),
     ("artistic-2", "artistic", r"artistic(?: licen[sc]e)? 2(?: 0)?"),
     ("artistic", "artistic", r"artistic"),
-    ("psf", "python", r"python software foundation|psf"),
+    ("psf", "psf", r"psf"),
+    ("psf", "python", r"python software foundation"),
     ("php", "php", r"php(?: 3(?: 0[01]?)?)?"),
     ("ruby", "ruby", r"ruby"),
     ("openssl", "openssl", r"openssl"),
@@ -77,16 +83,19 @@ NAMES = (
     ("afl", "academic", r"academic free licen[sc]e(?: v3 0| 3 0)?"),
     ("osl", "osl", r"osl(?: 3 0)?"),
     ("mulan", "mulan", r"mulan psl(?: v?2)?"),
-    ("upl", "upl", r"upl(?: 1 0)?|universal permissive licen[sc]e"),
-    ("odbl", "odbl", r"odbl(?: 1 0)?|open database licen[sc]e"),
-    ("gfdl", "documentation", r"gnu free documentation licen[sc]e|gfdl(?: 1 [123])?"),
+    ("upl", "upl", r"upl(?: 1 0)?"),
+    ("upl", "universal", r"universal permissive licen[sc]e"),
+    ("odbl", "odbl", r"odbl(?: 1 0)?"),
+    ("odbl", "database", r"open database licen[sc]e"),
+    ("gfdl", "gfdl", r"gfdl(?: 1 [123])?"),
+    ("gfdl", "documentation", r"gnu free documentation licen[sc]e"),
     ("cc0", "cc0", r"cc0(?: 1 0)?"),
-    ("cc-by-nc-nd", "nd", r"cc by nc nd(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "sa", r"cc by nc sa(?: [1-4] 0)?"),
-    ("cc-by-nc", "nc", r"cc by nc(?: [1-4] 0)?"),
-    ("cc-by-nd", "nd", r"cc by nd(?: [1-4] 0)?"),
-    ("cc-by-sa", "sa", r"cc by sa(?: [1-4] 0)?"),
-    ("cc-by", "by", r"cc by(?: [1-4] 0)?"),
+    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] 0)?"),
+    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] 0)?"),
+    ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] 0)?"),
+    ("cc-by-nd", "cc by", r"cc by nd(?: [1-4] 0)?"),
+    ("cc-by-sa", "cc by", r"cc by sa(?: [1-4] 0)?"),
+    ("cc-by", "cc by", r"cc by(?: [1-4] 0)?"),
 )
 #: Full-name forms of the Creative Commons family: label and the words after "creative commons attribution".
 COMMONS = (("cc-by-nc-nd", r" non ?commercial no ?deriv(?:s|atives)"), ("cc-by-nc-sa", r" non ?commercial share ?alike"), ("cc-by-nc", r" non ?commercial"), ("cc-by-nd", r" no ?deriv(?:s|atives)"), ("cc-by-sa", r" share ?alike"), ("cc-by", ""))
@@ -140,7 +149,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    out = [Rule(0, label, max(words.split(), key=len).encode(), words, 1.0, True) for label, words in BASE]
+    out = [Rule(0, label, gate.encode(), words, 1.0, True) for label, gate, words in BASE]
     out += [Rule(1, label, gate.encode(), words, 0.95) for label, gate, words in TEXTS]
     for label, gate, words in NAMES:
         out += [Rule(p, label, gate.encode(), before + words + after, c) for p, c, before, after in FORMS]
@@ -158,11 +167,11 @@ def words_of(text: str) -> bytes:
 
 def detect(line: bytes, compiled) -> list[tuple[int, int, Rule]]:
     """Kept detections (start, end, rule), in bytes of the line of words."""
-    found, gates = [], {}
+    found, gates, led = [], {}, b" " + line
     for rule, pattern in compiled:
         here = gates.get(rule.gate)
         if here is None:
-            here = gates[rule.gate] = rule.gate in line
+            here = gates[rule.gate] = b" " + rule.gate in led  # keywords start a word
         if here:
             found += [(rule.priority, m.start() - m.end(), m.start(), m.end(), rule) for m in pattern.finditer(line)]
     found.sort(key=lambda x: x[:4] + (x[4].label,))
