@@ -1,4 +1,8 @@
-"""Connected components of a link table, by alternating large-star and small-star contraction."""
+"""Connected components of a link table.
+
+Chunks of links are first reduced to forests, each in one task of bounded size; alternating large-star and small-star
+contraction then joins the forests of all chunks.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,34 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Links that one task reduces to a forest.
+CHUNK = 1_000_000
+
+
+def local_forests(links: DataFrame) -> DataFrame:
+    """a, b: for chunks of at most about CHUNK links, each node but the least of its tree with that least node."""
+
+    def reduce(it):
+        import pyarrow as pa
+
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in it:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = [x for x in list(parent) if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+    return links.repartition(max(1, -(-links.count() // CHUNK))).mapInArrow(reduce, "a long, b long")
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """u, v, m: every edge with the least of u and its neighbours. Minima are summed before the shuffle; a hub's rows are only joined."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -16,8 +48,9 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the least node reachable) for every node of the links (a, b); self links and nulls are ignored."""
-    edges = links.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
-    edges, seen = common.staged(edges, "links"), None
+    plain = links.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    forest = local_forests(common.staged(plain, "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges, seen = common.staged(forest.distinct(), "links"), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
