@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 A text becomes its words (letters, digits and everything beyond ASCII, with A-Z in lower case) joined by single
-spaces. Some hundreds of regexes run over that line, each only when its keyword stands in it. Detections are taken in
-order of priority, then length, then place; one whose interval lies inside an interval already taken is suppressed.
+spaces. Some hundreds of regexes run over that line, each only when its keyword starts a word of it; every alternative
+of a rule holds the keyword so. Detections are taken in order of priority, then length, then place; one whose interval
+lies inside an interval already taken is suppressed.
 The three base phrases are rules of the first priority and are never suppressed.
 
 Edge cases: a null or empty text has no words, labels or places; repeated rows are scanned one by one; an empty table
@@ -36,7 +37,8 @@ NAMES = (
     ("apache-2", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
     ("bsd-0", "0bsd", r"0bsd"),
     ("bsd-0", "bsd", r"bsd zero clause|zero clause bsd"),
-    ("bsd-2", "bsd", r"bsd 2(?: clause)?|2 clause bsd|two clause bsd|simplified bsd|freebsd"),
+    ("bsd-2", "bsd", r"bsd 2(?: clause)?|2 clause bsd|two clause bsd|simplified bsd"),
+    ("bsd-2", "freebsd", r"freebsd"),
     ("bsd-3", "bsd", r"bsd 3(?: clause)?|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd"),
     ("bsd-4", "bsd", r"bsd 4(?: clause)?|4 clause bsd|four clause bsd|original bsd"),
     ("bsd", "bsd", r"bsd"),
@@ -64,6 +66,7 @@ NAMES = (
     ("zlib", "zlib", r"zlib|zlib libpng"),
     ("libpng", "libpng", r"libpng(?: 2 0)?"),
     ("boost", "boost", r"boost(?: software)?(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?"),
+    ("boost", "bsl", r"bsl 1 0"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("artistic-1", "artistic", r"artistic(?: licen[sc]e)? 1(?: 0)?"),
@@ -121,7 +124,8 @@ TEXTS = (
     ("proprietary", "prior", r"without (?:the )?(?:prior|express) (?:written )?(?:consent|permission)"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("noncommercial", "commercial", r"(?:for )?(?:non ?commercial|personal) (?:use|purposes) only"),
+    ("noncommercial", "commercial", r"(?:for )?(?:non commercial|personal) (?:use|purposes) only"),
+    ("noncommercial", "noncommercial", r"(?:for )?noncommercial (?:use|purposes) only"),
     ("research-only", "research", r"for research (?:use|purposes) only"),
 )
 #: How a name is cited: priority, confidence, words before and after it.

@@ -92,6 +92,16 @@ def test_license_scan(spark, docs, empty):
     assert len(license_scan.rules()) > 300
 
 
+def license_labels(text):
+    compiled = [(r, r.pattern) for r in license_scan.rules()]
+    return {r.label for _, _, r in license_scan.detect(license_scan.words_of(text), compiled)}
+
+
+def test_notices_with_a_keyword_inside_a_word():
+    assert license_labels("Noncommercial use only.") == {"noncommercial"} and license_labels("for non-commercial purposes only") == {"noncommercial"}
+    assert license_labels("under the FreeBSD license") == {"bsd-2"} and license_labels("SPDX-License-Identifier: BSL-1.0") == {"boost"}
+
+
 def test_containment_suppresses_lower_rules():
     compiled = [(r, r.pattern) for r in license_scan.rules()]
     kept = license_scan.detect(license_scan.words_of("licensed under the apache license version 2.0"), compiled)
