@@ -121,10 +121,12 @@ TEXTS = (
     ("public-domain", "domain", r"in the public domain"),
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use) .{0,40}?(?:is )?(?:strictly )?prohibited"),
-    ("proprietary", "prior", r"without (?:the )?(?:prior|express) (?:written )?(?:consent|permission)"),
+    ("proprietary", "prior", r"without (?:the )?prior (?:written )?(?:consent|permission)"),
+    ("proprietary", "express", r"without (?:the )?express (?:written )?(?:consent|permission)"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("noncommercial", "commercial", r"(?:for )?(?:non commercial|personal) (?:use|purposes) only"),
+    ("noncommercial", "commercial", r"(?:for )?non commercial (?:use|purposes) only"),
+    ("noncommercial", "personal", r"(?:for )?personal (?:use|purposes) only"),
     ("noncommercial", "noncommercial", r"(?:for )?noncommercial (?:use|purposes) only"),
     ("research-only", "research", r"for research (?:use|purposes) only"),
 )

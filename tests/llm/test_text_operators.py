@@ -102,6 +102,37 @@ def test_notices_with_a_keyword_inside_a_word():
     assert license_labels("under the FreeBSD license") == {"bsd-2"} and license_labels("SPDX-License-Identifier: BSL-1.0") == {"boost"}
 
 
+def spelled(parsed):
+    """The strings of a parsed pattern; a repeat stands for its least count and one more, a class for its ends."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                more = [chr(arg)]
+            case "ANY":
+                more = ["x"]
+            case "IN":
+                more = [chr(c) for kind, v in arg for c in ([v] if str(kind) == "LITERAL" else v)]
+            case "SUBPATTERN":
+                more = spelled(arg[3])
+            case "BRANCH":
+                more = [s for part in arg[1] for s in spelled(part)]
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                more = [s * n for n in {arg[0], min(arg[1], arg[0] + 1)} for s in spelled(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def without_keyword(rule):
+    return [s for s in spelled(re._parser.parse(rule.words)) if " " + rule.gate.decode() not in " " + s]
+
+
+def test_every_alternative_holds_its_keyword():
+    assert [r for r in license_scan.rules() if without_keyword(r)] == []
+    assert license_labels("Not without express written permission.") == {"proprietary"} and license_labels("without the prior consent") == {"proprietary"}
+    assert license_labels("for personal use only") == {"noncommercial"}
+
+
 def test_containment_suppresses_lower_rules():
     compiled = [(r, r.pattern) for r in license_scan.rules()]
     kept = license_scan.detect(license_scan.words_of("licensed under the apache license version 2.0"), compiled)
