@@ -2,7 +2,10 @@
 
 Base kinds (assign, access, hex) are regular patterns. The method adds kind `random`: a string that a tiktoken
 vocabulary encodes at few characters a token, because no learned piece fits it, unless it is a known digest, a UUID,
-or an identifier made of words and short numbers. Base spans always stay; a random span that overlaps one is dropped.
+or an identifier made of words and short numbers. Where a whole run of such characters isn't random, or overlaps a base
+span, its odd parts between separators are judged by themselves, so that a path or name doesn't hide a key behind it (a
+key joined to words without a separator is judged with them). Base spans always stay; a random span that overlaps one
+is dropped.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned one by one; an empty table gives no rows;
 columns beyond doc_id and text are passed through by `redact` and ignored by `scan`. Spans are in code points.
@@ -34,6 +37,8 @@ INTEGRITY = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+={0,2}")
 #: One part of an identifier: a word in one case or capitalised, or a short number.
 PART = re.compile(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]{1,8}")
 SPLIT = re.compile(r"[-_/+=]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+#: Parts of a run between separators; a UUID or an integrity value is one part.
+RUN_PART = re.compile(r"(?P<known>[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])|sha(?:256-[A-Za-z0-9+/]{43,44}|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86})={0,2}(?![0-9A-Za-z+]))|[0-9A-Za-z]+")
 #: Random base-62 text has about 1.7 characters a token, prose above 2.5.
 CHARS_PER_TOKEN = 2.2
 
@@ -60,18 +65,46 @@ def is_known(s: str) -> bool:
     return all(PART.fullmatch(p) for p in parts) and words * 4 >= len(s) * 3
 
 
-def random_spans(text: str, encoding, limit: float) -> Iterator[tuple[int, int, int]]:
+def is_random(s: str, encoding, limit: float) -> bool:
+    mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or any(c.islower() for c in s) and sum(c.isupper() for c in s) >= 4
+    return len(s) >= 20 and mixed and not is_known(s) and len(s) < limit * len(encoding.encode_ordinary(s))
+
+
+def odd_stretches(run: str, encoding, limit: float) -> Iterator[list[tuple[int, int]]]:
+    """Parts in a row that are neither words, short numbers nor known and have few characters a token. Other parts of up to three characters may stand between them, as in base-64 text."""
+    stretch = []
+    for m in RUN_PART.finditer(run):
+        part = m[0]
+        if not (m["known"] or PART.fullmatch(part) or is_known(part)) and len(part) < limit * len(encoding.encode_ordinary(part)):
+            stretch.append(m.span())
+        elif len(part) > 3 and stretch:
+            yield stretch
+            stretch = []
+    if stretch:
+        yield stretch
+
+
+def random_spans(text: str, encoding, limit: float, base=()) -> Iterator[tuple[int, int, int]]:
+    """Random runs that overlap no base span, and the random parts of other runs."""
+
+    def free(a: int, b: int) -> bool:
+        return not any(x < b and a < y for x, _, y in base)
+
     for m in CANDIDATE.finditer(text):
-        s = m[0].strip("-_=/+")
-        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or any(c.islower() for c in s) and sum(c.isupper() for c in s) >= 4
-        if len(s) >= 20 and mixed and not is_known(s) and len(s) < limit * len(encoding.encode_ordinary(s)):
+        if free(*m.span()) and is_random(m[0].strip("-_=/+"), encoding, limit):
             yield m.start(), 3, m.end()
+            continue
+        for stretch in odd_stretches(m[0], encoding, limit):
+            for places in ([(stretch[0][0], stretch[-1][1])], stretch):
+                found = [(m.start() + a, 3, m.start() + b) for a, b in places if free(m.start() + a, m.start() + b) and is_random(m[0][a:b], encoding, limit)]
+                yield from found
+                if found:
+                    break
 
 
 def all_spans(text: str, encoding, limit: float = CHARS_PER_TOKEN) -> tuple[list, list]:
     base = base_spans(text)
-    added = [x for x in random_spans(text, encoding, limit) if not any(a < x[2] and x[0] < b for a, _, b in base)]
-    return base, sorted(base + added)
+    return base, sorted(base + list(random_spans(text, encoding, limit, base)))
 
 
 def told(spans) -> str:

@@ -59,6 +59,19 @@ def test_token_efficiency(spark):
         assert not hit(known), known
 
 
+def test_keys_behind_paths_and_names():
+    e = tokens.tiktoken_encoding(tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
+    random = lambda s: [s[a:b] for a, k, b in secret_scan.all_spans(s, e)[1] if k == 3]
+    path = "/opt/application/config/production/credentials/service/accounts/internal/application/settings/"
+    keys = ("xK9fQ2mZt7Lw4Rb8Yc1NvJ3H", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQvT8Lw2", "Zt7Lw4Rb8Yc1/a/NvJ3HxK9fQ2m")
+    for key in keys:
+        assert random(path + key) == [key] and random("see " + path + key + "/" + "application_default_configuration_directory_for_production end") == [key], key
+    assert random(path + keys[0] + path + keys[0]) == [keys[0]] * 2
+    assert random(path + "deadbeef" * 5 + "/" + keys[0]) == [keys[0]]  # a base span in the same run
+    for known in ("550e8400-e29b-41d4-a716-446655440000", hashlib.md5(b"x").hexdigest().upper(), "sha256-" + "A1b/" * 10 + "A1b=", "python3/x86_64-linux-gnu/v1beta2", "someCamelCaseIdentifierName"):
+        assert random(path * 3 + known) == [] == random(known + path * 3), known
+
+
 def test_scan_and_redact(spark, docs, empty):
     df = frame(spark, [(i, t, "s") for i, t in enumerate(SECRETS)])
     got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
