@@ -4,8 +4,8 @@ Base kinds (assign, access, hex) are regular patterns. The method adds kind `ran
 vocabulary encodes at few characters a token, because no learned piece fits it, unless it is a known digest, a UUID,
 or an identifier made of words and short numbers. Where a whole run of such characters isn't random, or overlaps a base
 span, its odd parts between separators are judged by themselves, so that a path or name doesn't hide a key behind it (a
-key joined to words without a separator is judged with them). Base spans always stay; a random span that overlaps one
-is dropped.
+key joined to words without a separator is judged with them). Letters only are judged from 20 in a row; fewer between
+separators count as a word. Base spans always stay; a random span that overlaps one is dropped.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned one by one; an empty table gives no rows;
 columns beyond doc_id and text are passed through by `redact` and ignored by `scan`. Spans are in code points.
@@ -66,8 +66,10 @@ def is_known(s: str) -> bool:
 
 
 def is_random(s: str, encoding, limit: float) -> bool:
+    """Letters of one case, or with few capitals, look like a word, so only the vocabulary tells them apart; other strings need digits or capitals among their letters."""
+    letters = s.isalpha() and (s.isupper() or sum(c.isupper() for c in s) < 4)
     mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or any(c.islower() for c in s) and sum(c.isupper() for c in s) >= 4
-    return len(s) >= 20 and mixed and not is_known(s) and len(s) < limit * len(encoding.encode_ordinary(s))
+    return len(s) >= 20 and (letters or mixed and not is_known(s)) and len(s) < limit * len(encoding.encode_ordinary(s))
 
 
 def odd_stretches(run: str, encoding, limit: float) -> Iterator[list[tuple[int, int]]]:
@@ -75,7 +77,8 @@ def odd_stretches(run: str, encoding, limit: float) -> Iterator[list[tuple[int,
     stretch = []
     for m in RUN_PART.finditer(run):
         part = m[0]
-        if not (m["known"] or PART.fullmatch(part) or is_known(part)) and len(part) < limit * len(encoding.encode_ordinary(part)):
+        plain = m["known"] or (PART.fullmatch(part) or is_known(part)) and not is_random(part, encoding, limit)
+        if not plain and len(part) < limit * len(encoding.encode_ordinary(part)):
             stretch.append(m.span())
         elif len(part) > 3 and stretch:
             yield stretch

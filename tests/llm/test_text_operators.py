@@ -72,6 +72,15 @@ def test_keys_behind_paths_and_names():
         assert random(path * 3 + known) == [] == random(known + path * 3), known
 
 
+def test_keys_of_letters_only():
+    e = tokens.tiktoken_encoding(tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
+    random = lambda s: [s[a:b] for a, k, b in secret_scan.all_spans(s, e)[1] if k == 3]
+    for key in ("qwkzjxvbpmtrhgfdlsynwq", "QWKZJXVBPMTRHGFDLSYNWQ", "Qwkzjxvbpmtrhgfdlsynwq", "qwkzJxvbpmtrhgfDlsynwq"):
+        assert random("key " + key + " end") == [key] and random("/opt/application/config/production/credentials/internal/settings/directory/" * 3 + key) == [key], key
+    for word in ("internationalization", "COUNTERREVOLUTIONARIES", "Donaudampfschifffahrtsgesellschaft", "someCamelCaseName/andAnotherCamelName", "and/or/by/to/of/in/on/at/as/is", "a/b/c/d/e/f/g/h/i/j/k/l", "2024-01-02-03-04-05-06"):
+        assert not random(word), word
+
+
 def test_scan_and_redact(spark, docs, empty):
     df = frame(spark, [(i, t, "s") for i, t in enumerate(SECRETS)])
     got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
