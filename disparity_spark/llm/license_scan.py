@@ -34,7 +34,7 @@ NAMES = (
     ("apache-1", "apache", r"apache 1 [01]|apache (?:software )?licen[sc]e(?: version)? 1 [01]"),
     ("apache-1", "asl", r"asl 1 [01]"),
     ("apache-2", "asl", r"asl 2 0"),
-    ("apache-2", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-2", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| ?v)? ?2(?: 0)?"),
     ("bsd-0", "0bsd", r"0bsd"),
     ("bsd-0", "bsd", r"bsd zero clause|zero clause bsd"),
     ("bsd-2", "bsd", r"bsd 2(?: clause)?|2 clause bsd|two clause bsd|simplified bsd"),
@@ -42,30 +42,37 @@ NAMES = (
     ("bsd-3", "bsd", r"bsd 3(?: clause)?|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd"),
     ("bsd-4", "bsd", r"bsd 4(?: clause)?|4 clause bsd|four clause bsd|original bsd"),
     ("bsd", "bsd", r"bsd"),
-    ("gpl-1", "gpl", r"gnu gpl v?1|gpl(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    ("gpl-1", "gpl", r"gnu gpl ?v?1|gpl(?: version| ?v)? ?1(?: 0)?"),
+    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version| ?v)? ?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version| ?v)? ?3(?: 0)?(?: only| or later)?"),
     ("gpl", "general", r"gnu general public licen[sc]e"),
-    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2 1(?: only| or later)?"),
-    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "general", r"gnu general public licen[sc]e(?: version| ?v)? ?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "general", r"gnu general public licen[sc]e(?: version| ?v)? ?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version| ?v)? ?2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| ?v)? ?2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version| ?v)? ?3(?: 0)?(?: only| or later)?"),
     ("lgpl", "lesser", r"gnu lesser general public licen[sc]e"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version| v)? ?3?(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public licen[sc]e(?: version| ?v)? ?2 1(?: only| or later)?"),
+    ("lgpl-3", "lesser", r"gnu lesser general public licen[sc]e(?: version| ?v)? ?3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version| ?v)? ?3?(?: 0)?(?: only| or later)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e"),
-    ("mpl-1.1", "mpl", r"mpl(?: version| v)? ?1 [01]"),
-    ("mpl-2", "mpl", r"mpl(?: version| v)? ?2(?: 0)?"),
+    ("agpl-3", "affero", r"(?:gnu )?affero general public licen[sc]e(?: version| ?v)? ?3(?: 0)?(?: only| or later)?"),
+    ("mpl-1.1", "mpl", r"mpl(?: version| ?v)? ?1 [01]"),
+    ("mpl-2", "mpl", r"mpl(?: version| ?v)? ?2(?: 0)?"),
     ("mpl", "mozilla", r"mozilla public licen[sc]e"),
-    ("epl-1", "epl", r"epl(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "epl", r"epl(?: version| v)? ?2(?: 0)?"),
+    ("mpl-2", "mozilla", r"mozilla public licen[sc]e(?: version| ?v)? ?2(?: 0)?"),
+    ("epl-1", "epl", r"epl(?: version| ?v)? ?1(?: 0)?"),
+    ("epl-2", "epl", r"epl(?: version| ?v)? ?2(?: 0)?"),
     ("epl", "eclipse", r"eclipse public licen[sc]e"),
+    ("epl-2", "eclipse", r"eclipse public licen[sc]e(?: version| ?v)? ?2(?: 0)?"),
     ("cddl", "cddl", r"cddl(?: 1 [01])?"),
     ("cpl", "common", r"common public licen[sc]e"),
     ("cpal", "cpal", r"cpal(?: 1 0)?"),
-    ("eupl", "eupl", r"eupl(?: version| v)? ?1? ?[0-2]?"),
+    ("eupl", "eupl", r"eupl(?: version| ?v)? ?1? ?[0-2]?"),
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib|zlib libpng"),
     ("libpng", "libpng", r"libpng(?: 2 0)?"),
-    ("boost", "boost", r"boost(?: software)?(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?"),
+    ("boost", "boost", r"boost(?: software)?(?: licen[sc]e)?(?: version| ?v)? ?1(?: 0)?"),
     ("boost", "bsl", r"bsl 1 0"),
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
@@ -81,17 +88,29 @@ NAMES = (
     ("ofl", "ofl", r"(?:sil )?ofl(?: 1 1)?"),
     ("ofl", "font", r"sil open font licen[sc]e"),
     ("bsl", "business", r"business source licen[sc]e(?: 1 1)?"),
-    ("sspl", "sspl", r"sspl(?: v?1)?"),
+    ("bsl", "busl", r"busl(?: 1 1)?"),
+    ("sspl", "sspl", r"sspl(?: ?v?1(?: 0)?)?"),
     ("elastic-2", "elastic", r"elastic(?: licen[sc]e)?(?: 2 0)?"),
     ("afl", "academic", r"academic free licen[sc]e(?: v3 0| 3 0)?"),
+    ("afl", "afl", r"afl [1-3] [0-2]|afl ?v[1-3] [0-2]"),
     ("osl", "osl", r"osl(?: 3 0)?"),
-    ("mulan", "mulan", r"mulan psl(?: v?2)?"),
+    ("mulan", "mulan", r"mulan ?psl(?: ?v?2(?: 0)?)?"),
     ("upl", "upl", r"upl(?: 1 0)?"),
     ("upl", "universal", r"universal permissive licen[sc]e"),
     ("odbl", "odbl", r"odbl(?: 1 0)?"),
     ("odbl", "database", r"open database licen[sc]e"),
     ("gfdl", "gfdl", r"gfdl(?: 1 [123])?"),
     ("gfdl", "documentation", r"gnu free documentation licen[sc]e"),
+    ("ms-pl", "ms pl", r"ms pl"),
+    ("ms-pl", "microsoft", r"microsoft public licen[sc]e"),
+    ("ms-rl", "ms rl", r"ms rl"),
+    ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e"),
+    ("ecl-2", "ecl", r"ecl 2 0"),
+    ("ncsa", "ncsa", r"ncsa"),
+    ("cecill", "cecill", r"cecill(?: [bc])?(?: [12] [01])?"),
+    ("hpnd", "hpnd", r"hpnd"),
+    ("blueoak", "blueoak", r"blueoak 1 0 0"),
+    ("openrail", "openrail", r"openrail(?: ?m)?"),
     ("cc0", "cc0", r"cc0(?: 1 0)?"),
     ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] 0)?"),
     ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] 0)?"),
@@ -117,6 +136,22 @@ TEXTS = (
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("boost", "boost", r"distributed under the boost software licen[sc]e"),
     ("wtfpl", "fuck", r"do what the fuck you want to public licen[sc]e"),
+    ("mit", "substantial", r"this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-4", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "misrepresented", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "accompanying", r"to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("gpl-2", "foundation", r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 2"),
+    ("gpl-3", "foundation", r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 3"),
+    ("lgpl-2.1", "foundation", r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 2 1"),
+    ("lgpl-3", "foundation", r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3"),
+    ("agpl-3", "foundation", r"gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3"),
+    ("cc0", "waived", r"has waived all copyright and related or neighbou?ring rights"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("php", "php", r"this product includes php software"),
+    ("commons-clause", "commons", r"commons clause licen[sc]e condition"),
     ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in|in ?to|to) the public domain"),
     ("public-domain", "domain", r"in the public domain"),
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)"),

@@ -155,6 +155,14 @@ def test_every_alternative_holds_its_keyword():
     assert license_labels("for personal use only") == {"noncommercial"}
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("licensed under GPLv3", "gpl-3"), ("released under the GPLv2", "gpl-2"), ("LGPLv3 license", "lgpl-3"), ("LGPLv2.1 license", "lgpl-2.1"), ("under the MPLv2 license", "mpl-2"), ("licensed under AGPLv3+", "agpl-3"), ("licensed under GPL v3", "gpl-3"), ("SPDX-License-Identifier: BUSL-1.1", "bsl"), ("licensed under the GNU General Public License v3.0", "gpl-3"), ("SPDX-License-Identifier: MS-PL", "ms-pl"), ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "zlib")],
+)
+def test_versions_in_one_word_and_more_texts(text, label):
+    assert license_labels(text) == {label}
+
+
 def test_containment_suppresses_lower_rules():
     compiled = [(r, r.pattern) for r in license_scan.rules()]
     kept = license_scan.detect(license_scan.words_of("licensed under the apache license version 2.0"), compiled)
