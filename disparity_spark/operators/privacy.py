@@ -7,6 +7,8 @@ batches. Duplicates are counted over all rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ SAMPLE = 2000
 LOW_RISK, REVIEW_RISK = 0.20, 0.45
 CUT = 0.05
 HIGH_MEMORIZATION, LOW_CARDINALITY = 0.10, 0.5
+#: Bytes of features that are broadcast at once.
+BLOCK = 16 << 20
 
 
 def hash_sample(df: DataFrame, columns, rows: int, seed: int = 42) -> DataFrame:
@@ -40,14 +44,30 @@ def encoded(source: DataFrame, synthetic: DataFrame, numeric, categorical) -> Da
     return both.crossJoin(F.broadcast(one)).select("side", F.array(*numbers, *ranks).alias("features"))  # `one` has one row
 
 
-def nearest(queries: DataFrame, others: DataFrame, same: bool = False, limit: int = SAMPLE) -> DataFrame:
+def nearest(queries: DataFrame, others: DataFrame, same: bool = False, limit: int | None = SAMPLE, block: int = BLOCK) -> DataFrame:
     """id, distance: Euclidean distance of each query (id, features) to the nearest other row; `same` leaves out the row itself.
 
-    `others` is a sample of at most `limit` rows; longer input is refused rather than broadcast.
+    `others` is a sample of at most `limit` rows; longer input is refused. Without a limit it may have any size and is
+    taken in blocks of about `block` bytes, with one pass over both tables for each; work grows with the product of both.
     """
+    if limit is not None:
+        if others.limit(limit + 1).count() > limit:
+            raise ValueError(f"nearest() takes at most {limit} rows; sample first or raise the limit")
+        return _nearest(queries, others, same)
+    size = others.agg(F.coalesce(F.sum(F.size("features").cast("long") * 8), F.lit(0))).first()[0]
+    n = max(1, -(-size // block))
+    if n == 1:
+        return _nearest(queries, others, same)
+    of = F.pmod(F.xxhash64("id", "features"), F.lit(n))
+    parts = [_nearest(queries, others.filter(of == k), same, keep=True) for k in range(n)]
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy("id", "features").agg(F.min("distance").alias("distance"), F.count("*").alias("n"))
+    # Equal rows have equal distances: as many are given back as there were.
+    return found.select("id", "distance", F.explode(F.expr(f"array_repeat(0, cast(n div {n} as int))"))).select("id", "distance")
+
+
+def _nearest(queries: DataFrame, others: DataFrame, same: bool, keep: bool = False) -> DataFrame:
+    """The distances to a table that is broadcast whole; `keep` leaves the features in."""
     spark = queries.sparkSession
-    if others.limit(limit + 1).count() > limit:
-        raise ValueError(f"nearest() broadcasts at most {limit} rows; sample first or raise the limit")
     known = others.select("id", "features").toPandas()
     sent = spark.sparkContext.broadcast((known["id"].tolist(), known["features"].tolist()))
 
@@ -67,9 +87,9 @@ def nearest(queries: DataFrame, others: DataFrame, same: bool = False, limit: in
                 if same:
                     squares = squares[ids != i]
                 out.append(float(np.sqrt(squares.min())) if len(squares) else None)
-            yield pd.DataFrame({"id": pdf["id"], "distance": pd.array(out, dtype="Float64")})
+            yield pd.DataFrame({**({"features": pdf["features"]} if keep else {}), "id": pdf["id"], "distance": pd.array(out, dtype="Float64")})
 
-    return queries.select("id", "features").mapInPandas(search, "id long, distance double")
+    return queries.select("id", "features").mapInPandas(search, ("features array<double>, " if keep else "") + "id long, distance double")
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -57,17 +57,17 @@ def _vectors(spark, sf_dir):
 
 def nn_source_to_synthetic(spark, sf_dir):
     a, b = _vectors(spark, sf_dir)
-    return _rounded(privacy.nearest(a, b, limit=1_000_000), "distance")
+    return _rounded(privacy.nearest(a, b, limit=None), "distance")
 
 
 def nn_source_to_source(spark, sf_dir):
     a, _ = _vectors(spark, sf_dir)
-    return _rounded(privacy.nearest(a, a, same=True, limit=1_000_000), "distance")
+    return _rounded(privacy.nearest(a, a, same=True, limit=None), "distance")
 
 
 def _risks(spark, sf_dir):
     a, b = _vectors(spark, sf_dir)
-    return privacy.distance_risks(privacy.nearest(a, b, limit=1_000_000), privacy.nearest(a, a, same=True, limit=1_000_000))
+    return privacy.distance_risks(privacy.nearest(a, b, limit=None), privacy.nearest(a, a, same=True, limit=None))
 
 
 def distance_ratio_risk(spark, sf_dir):

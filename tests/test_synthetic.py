@@ -89,3 +89,12 @@ def test_generators(spark):
     for n, bias in ((0, 0.1), (5, 1.5), (True, 0.0)):
         with pytest.raises(ValueError):
             sources.generate_dispatch(spark, n, bias)
+
+
+def test_nearest_takes_others_of_any_size_in_blocks(spark):
+    rows = [(i, [float((i * 37) % 101), float((i * 53) % 89)]) for i in range(150)]
+    rows += rows[:2]  # repeated rows stay
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    for same in (False, True):
+        whole, blocks = (sorted(map(tuple, privacy.nearest(df, df, same, **how).collect())) for how in ({"limit": 1000}, {"limit": None, "block": 16 * 40}))
+        assert blocks == whole and len(whole) == 152
