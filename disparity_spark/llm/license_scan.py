@@ -3,7 +3,8 @@
 A text becomes its words (letters, digits and everything beyond ASCII, with A-Z in lower case) joined by single
 spaces. Some hundreds of regexes run over that line, each only when its keyword starts a word of it; every alternative
 of a rule holds the keyword so. Detections are taken in order of priority, then length, then place; one whose interval
-lies inside an interval already taken is suppressed.
+lies inside an interval already taken is suppressed (containment passes on, so it doesn't matter whether that one was
+itself suppressed, and a sweep by start finds all of them).
 The three base phrases are rules of the first priority and are never suppressed.
 
 Edge cases: a null or empty text has no words, labels or places; repeated rows are scanned one by one; an empty table
@@ -12,7 +13,9 @@ gives no rows; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -214,12 +217,27 @@ def detect(line: bytes, compiled) -> list[tuple[int, int, Rule]]:
         if here is None:
             here = gates[rule.gate] = b" " + rule.gate in led  # keywords start a word
         if here:
-            found += [(rule.priority, m.start() - m.end(), m.start(), m.end(), rule) for m in pattern.finditer(line)]
-    found.sort(key=lambda x: x[:4] + (x[4].label,))
+            found += [(m.start(), m.end(), rule) for m in pattern.finditer(line)]
+    return unsuppressed(found)
+
+
+def unsuppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The detections that no detection of a higher priority, or a longer or equal one before it of the same, contains."""
     kept: list[tuple[int, int, Rule]] = []
-    for _, _, a, b, rule in found:
-        if rule.base or not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
+    above: list[tuple[int, int]] = []  # starts of higher priorities, each with the furthest end up to it
+    for priority in sorted({rule.priority for _, _, rule in found}):
+        own = sorted((x for x in found if x[2].priority == priority), key=lambda x: (x[0], -x[1], x[2].label, x[2].words))
+        reach = -1
+        for a, b, rule in own:
+            i = bisect_right(above, (a, math.inf))
+            if rule.base or b > reach and (not i or b > above[i - 1][1]):
+                kept.append((a, b, rule))
+            reach = max(reach, b)
+        merged, reach = [], -1
+        for a, b in sorted(above + [(a, b) for a, b, _ in own]):
+            reach = max(reach, b)
+            merged.append((a, reach))
+        above = merged
     return kept
 
 
@@ -227,8 +245,8 @@ def summarized(line: bytes, kept) -> tuple:
     base = sorted(a for a, _, rule in kept if rule.base)
     at = [line.count(b" ", 0, a) for a in (base[:1] + base[-1:])] or [None, None]
     miss = 1.0
-    for rule in {rule for _, _, rule in kept}:
-        miss *= 1 - rule.confidence
+    for confidence in sorted(rule.confidence for rule in {rule for _, _, rule in kept}):
+        miss *= 1 - confidence
     labels = [",".join(sorted({rule.label for _, _, rule in kept if rule.base or not only})) for only in (True, False)]
     return line.count(b" ") + 1 if line else 0, len(base), at[0], at[1], *labels, 1 - miss
 
