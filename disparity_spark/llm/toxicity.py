@@ -1,14 +1,17 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is the logistic of a bias plus weights of the distinct words in
-it; the document's score is their noisy-or, 1 - prod(1 - p). Only document labels train it, by gradient steps on the
-noisy-or likelihood; the sentence scores then tell where the offence stands. A word's weight is that of the word plus
-those of its beginnings, so that inflected forms share evidence.
+it; the document's score is the noisy-or 1 - (1 - leak) prod(1 - p) over its sentences with evidence, where the leak, the
+score of the bias, counts once a document: sentences without evidence don't add up, so a long clean text is no more
+toxic than a short one. Only document labels train it, by gradient steps on the noisy-or likelihood; the sentence scores
+then tell where the offence stands. A word's weight is that of the word plus those of its beginnings, so that inflected
+forms share evidence.
 
 Training uses labelled rows alone whose crc32(doc_id) mod 5 isn't 0, at most `sample` of them in the order of a hash;
-that bound is a parameter and the only sample taken. Scoring reads every text whole, and only the text.
+that bound is a parameter and the only sample taken. Features are counted and looked up on the executors; the driver
+gets the chosen ones and their places in sentences, no texts. Scoring reads every text whole, and only the text.
 
-Edge cases: a null or empty text has one empty sentence, so the score of the bias; rows with a null doc_id count as
+Edge cases: a null or empty text has no sentence, so the score of the leak; rows with a null doc_id count as
 not held out; null labels and labels without a document are unused; a doc_id labelled twice is toxic if one label
 says so; equal texts train once; without both kinds of labels all weights are 0; an empty table gives no rows.
 """
@@ -16,7 +19,6 @@ says so; equal texts train once; without both kinds of labels all weights are 0;
 from __future__ import annotations
 
 import re
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ PREFIXES = range(4, 9)
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
 FEATURES = 4_000
-#: Documents that a feature must stand in, and entries of the table of hashed counts.
-LEAST, BUCKETS = 4, 1 << 22
+#: Documents that a feature must stand in, and how far it must lean to one label, as a likelihood ratio (chi-squared of one degree).
+LEAST, LEAN = 3, 20.0
 STEPS = 300
 RATE = 0.1
 L2 = 5e-5
@@ -55,50 +57,68 @@ def document_words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def chosen_features(rows: list[tuple[str, int]]) -> list[str]:
-    """Features that lean to one label beyond chance (|z| of the smoothed log odds), the strongest first.
-
-    Two passes keep memory small: a fixed table of hashed counts tells which features can be frequent, and only those
-    are then counted by name.
-    """
-    table = np.zeros(BUCKETS, np.uint16)
-    for text, _ in rows:
-        hashed = np.fromiter({crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for w in document_words(text) for f in features(w)}, np.int64)
-        table[hashed] += table[hashed] < 65535
-    counts: dict[str, list[int]] = {}
-    for text, label in rows:
-        for f in {f for w in document_words(text) for f in features(w)}:
-            if table[crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS] >= LEAST:
-                counts.setdefault(f, [0, 0])[label] += 1
-    n1 = sum(label for _, label in rows)
-    n0 = len(rows) - n1
-    names = [f for f, (a, b) in counts.items() if a + b >= LEAST]
-    a, b = (np.array([counts[f][k] for f in names], float) for k in (0, 1))
-    lean = np.log((b + 0.5) / (n1 - b + 0.5)) - np.log((a + 0.5) / (n0 - a + 0.5))
-    z = lean / np.sqrt(1 / (b + 0.5) + 1 / (a + 0.5))
-    order = sorted(np.flatnonzero(np.abs(z) > 2.5), key=lambda i: (-abs(z[i]), names[i]))
-    return [names[i] for i in order[:FEATURES]]
-
-
-def train(texts: list[str], labels: list[int]) -> tuple[float, dict[str, float]]:
-    """Bias and feature weights, by Adam on the noisy-or likelihood. The same rows in any order give the same model."""
-    rows = sorted({t: y for t, y in sorted(zip(texts, labels, strict=True))}.items())
-    y = np.array([v for _, v in rows], int)
-    if len(set(y.tolist())) < 2:
-        return BIAS, {}
-    names = chosen_features(rows)
-    index = {f: i for i, f in enumerate(names)}
-    of_doc, of_sentence, column, value, n = [], [], [], [], 0
-    for d, (text, _) in enumerate(rows):
-        for _, _, words in sentences(text) or [(0, 0, set())]:
-            found: dict[int, int] = {}
-            for w in words:
-                for f in features(w):
-                    if f in index:
-                        found[index[f]] = found.get(index[f], 0) + 1
-            of_doc.append(d), column.extend(found), value.extend(found.values()), of_sentence.extend([n] * len(found))
-            n += 1
-    of_doc, of_sentence, column, value = np.array(of_doc), np.array(of_sentence, int), np.array(column, int), np.array(value, float)
+def counted_features(rows: DataFrame) -> DataFrame:
+    """feature, a, b: training documents without and with the label that have a feature."""
+
+    def batches(it):
+        import pyarrow as pa
+
+        counts: dict[str, list[int]] = {}
+        for batch in it:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for f in {f for w in document_words(text) for f in features(w)}:
+                    counts.setdefault(f, [0, 0])[label] += 1
+        names = list(counts)
+        for at in range(0, len(names), 100_000):
+            part = names[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([counts[f][k] for f in part], pa.int64()) for k in (0, 1)]], names=["feature", "a", "b"])
+
+    return rows.select("text", "label").mapInArrow(batches, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def chosen_features(rows: DataFrame, n0: int, n1: int) -> list[str]:
+    """Features that lean to one label beyond chance (likelihood ratio of the two-by-two table), the strongest first."""
+    n, a, b = float(n0 + n1), F.col("a").cast("double"), F.col("b").cast("double")
+    term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    ratio = 2 * (term(b, (a + b) * n1 / n) + term(a, (a + b) * n0 / n) + term(n1 - b, (n - a - b) * n1 / n) + term(n0 - a, (n - a - b) * n0 / n))
+    strong = counted_features(rows).filter(F.col("a") + F.col("b") >= LEAST).withColumn("lean", F.round(ratio, 9)).filter(F.col("lean") > LEAN)
+    return [r.feature for r in strong.orderBy(F.desc("lean"), "feature").limit(FEATURES).collect()]
+
+
+def bags(rows: DataFrame, names: list[str]) -> DataFrame:
+    """label, key (of the text), data: packed (sentence with evidence, feature, count) of each training document."""
+
+    def batches(it):
+        import pyarrow as pa
+
+        index = {f: i for i, f in enumerate(names)}
+        for batch in it:
+            packed = []
+            for text in batch.column(0).to_pylist():
+                found, n = [], 0
+                for _, _, words in sentences(text):
+                    own: dict[int, int] = {}
+                    for f in (f for w in words for f in features(w)):
+                        if f in index:
+                            own[index[f]] = own.get(index[f], 0) + 1
+                    found += [(n, i, k) for i, k in sorted(own.items())]
+                    n += bool(own)
+                packed.append(np.array(found, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], names=["label", "key", "data"])
+
+    return rows.select("text", "label", F.xxhash64("text").alias("key")).mapInArrow(batches, "label int, key long, data binary")
+
+
+def train(labels: list[int], data: list[bytes], names: list[str]) -> tuple[float, dict[str, float]]:
+    """Bias and feature weights, by Adam on the noisy-or likelihood of packed bags, each with its leak."""
+    y = np.array(labels, int)
+    held = [np.frombuffer(d, "<i4").reshape(-1, 3) for d in data]
+    # Every document's first instance is its leak, without features.
+    lengths = np.array([1 + (int(h[-1, 0]) + 1 if len(h) else 0) for h in held], int)
+    first = np.cumsum(lengths) - lengths
+    of_doc, n = np.repeat(np.arange(len(y)), lengths), int(lengths.sum())
+    of_sentence = np.concatenate([h[:, 0] + 1 + f for h, f in zip(held, first, strict=True)])
+    column, value = np.concatenate([h[:, 1] for h in held]), np.concatenate([h[:, 2] for h in held]).astype(float)
     w = np.zeros(len(names) + 1)
     w[-1] = BIAS
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -135,22 +155,17 @@ class Scorer:
         low = text.lower()
         if len(low) != len(text):  # a few characters change their length; places are those of the text
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        n, miss, weight = 0, 0.0, self.weight
+        weight = self.weight
         base = 1 / (1 + np.exp(-self.bias))
-        plain = float(np.log1p(-base))
+        miss = float(np.log1p(-base))
         best = (base, 0, 0)
         for m in SENTENCE.finditer(low):
-            n += 1
             total = sum(map(weight, set(WORD.findall(m[0]))))
-            if total:
+            if total > 0:
                 p = 1 / (1 + float(np.exp(-min(30.0, max(-30.0, self.bias + total)))))
                 miss += float(np.log1p(-min(p, 1 - 1e-12)))
                 if p > best[0]:
                     best = (p, m.start(), m.end())
-            else:
-                miss += plain
-        if not n:
-            miss = plain
         return 1 - float(np.exp(miss)), best[1], best[2], float(best[0])
 
 
@@ -159,8 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     bounded = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").toPandas()
-    return train([t or "" for t in rows["text"]], [int(v) for v in rows["__toxic"]])
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(bounded), "doc_id")
+    rows = common.staged(rows.groupBy("text").agg(F.max("__toxic").alias("label")), "toxicity-sample")
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return BIAS, {}
+    names = chosen_features(rows, counts[0], counts[1])
+    got = bags(rows, names).toPandas().sort_values(["key", "label", "data"])  # the same model from rows in any order
+    return train(got["label"].tolist(), got["data"].tolist(), names)
 
 
 def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
