@@ -4,9 +4,12 @@ Equal vectors are first collapsed to one with a count. On unit vectors, cosine >
 eps = sqrt(2 - 2t). Vectors are rotated onto principal axes (fitted on a bounded sample; any rotation keeps distances,
 so results don't depend on it), sorted by their eps-grid cells on the leading axes, and cut into blocks of the
 sequence. The sequence joins itself recursively: two intervals whose bounding boxes lie farther apart than eps are
-skipped, others are halved down to pairs of blocks. A pair of blocks is one matrix product; cosines near the limit are
-taken again in double precision from the vectors as given. Links are counted, not listed: a pair of blocks returns a
-count and a local component per vector, and connected components of those forests follow.
+skipped, others are halved down to pairs of blocks, and within a task on to pairs of leaves, each one matrix product;
+cosines near the limit are taken again in double precision from the vectors as given. Links are counted, not listed: a
+pair of blocks returns a count and a local component per vector, and connected components of those forests follow.
+
+How much is skipped depends on the data: where vectors spread evenly over many axes, no two boxes are distant and all
+pairs of blocks are compared. Blocks are large so that a vector then moves once for every `block` others.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and are
 their own component; vectors of different lengths don't link; equal vectors link with each other; an empty table gives
@@ -23,8 +26,8 @@ from . import common
 from .components import connected_components
 
 LIMIT = 0.95
-#: Vectors in a block, leading axes in the grid order, axes in a bounding box, vectors that fit the rotation.
-BLOCK, AXES, BOX, SAMPLE = 2048, 6, 24, 4096
+#: Vectors in a block and in a leaf, leading axes in the grid order, axes in a bounding box, vectors that fit the rotation.
+BLOCK, LEAF, AXES, BOX, SAMPLE = 8192, 512, 6, 24, 4096
 
 
 def rotation(sample: np.ndarray) -> np.ndarray:
@@ -38,18 +41,22 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def close_pairs(low: np.ndarray, high: np.ndarray, eps: float) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of blocks whose boxes are within eps, by recursion over intervals of the sequence."""
+def close_pairs(low: np.ndarray, high: np.ndarray, eps: float, start: tuple | None = None, boxes: dict | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) whose boxes are within eps, by recursion over intervals of the sequence.
+
+    From two intervals `start` = (a, b, c, d), or (i <= j) from the whole sequence with itself; `boxes` keeps the boxes
+    of intervals for further calls.
+    """
     if not len(low):
         return []
-    boxes: dict = {}
+    boxes = {} if boxes is None else boxes
 
     def box(a, b):
         if (a, b) not in boxes:
             boxes[a, b] = low[a:b].min(0), high[a:b].max(0)
         return boxes[a, b]
 
-    out, todo = [], [(0, len(low), 0, len(low))]
+    out, todo = [], [start or (0, len(low), 0, len(low))]
     while todo:
         a, b, c, d = todo.pop()
         (l1, h1), (l2, h2) = box(a, b), box(c, d)
@@ -105,6 +112,35 @@ def joined_blocks(ids, counts, x, ids2, counts2, y, limit, same):
     return one if same else [np.concatenate(z) for z in zip(one, (ids2, counts[rows] @ linked, right), strict=True)]
 
 
+def joined_sequences(ids, counts, x, ids2, counts2, y, limit, same, eps, axes):
+    """As joined_blocks, by recursion over leaves of both blocks; a vector is told once."""
+    leaf = range(0, len(x), LEAF), range(0, len(y), LEAF)
+    boxes = []
+    for matrix, starts in ((x, leaf[0]), (y, leaf[1])):
+        places = (units(matrix) @ axes)[:, :BOX]
+        boxes.append([f(places[k : k + LEAF], 0) for f in (np.min, np.max) for k in starts])
+    low, high = (np.array([b for of in boxes for b in of[k * len(of) // 2 : (k + 1) * len(of) // 2]]) for k in (0, 1))
+    n, found = len(leaf[0]), []
+    for i, j in close_pairs(low[:n], high[:n], eps) if same else close_pairs(low, high, eps, (0, n, n, len(low))):
+        a, b = i * LEAF, (j if same else j - n) * LEAF
+        p, q = slice(a, a + LEAF), slice(b, b + LEAF)
+        found.append(joined_blocks(ids[p], counts[p], x[p], ids2[q], counts2[q], y[q], limit, same and i == j))
+    told, links, root = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    names, at = np.unique(np.concatenate([told, root]), return_inverse=True)
+    own, least = at[: len(told)], at[len(told) :]
+    part = np.arange(len(names))
+    while True:
+        before = part.copy()
+        m = np.minimum(part[own], part[least])
+        np.minimum.at(part, own, m)
+        np.minimum.at(part, least, m)
+        part = part[part]
+        if (part == before).all():
+            break
+    linked = np.unique(own)
+    return names[linked], np.bincount(own, links, minlength=len(names)).astype(np.int64)[linked], names[part[linked]]
+
+
 def near_duplicates(vectors: DataFrame, limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -171,13 +207,23 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, block: int = BLOCK
     ordered = classes.mapInPandas(celled, "v array<double>, id long, copies long, cells array<int>")
     ordered = ordered.repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id")
     blocks = common.staged(ordered.mapInPandas(blocked, "block long, low array<double>, high array<double>, width int, ids binary, counts binary, data binary"), "vector-blocks")
-    # Bounding boxes only: one small row for every `block` vectors.
+    # Bounding boxes only: some 400 bytes for every `block` vectors.
     boxes = blocks.select("block", "low", "high").orderBy("block").toPandas()
-    names = boxes["block"].tolist()
-    near = close_pairs(np.array(boxes["low"].tolist()), np.array(boxes["high"].tolist()), eps)
-    pairs = spark.createDataFrame([(names[a], names[b]) for a, b in near], "a long, b long")
+    sent = spark.sparkContext.broadcast((boxes["block"].to_numpy(np.int64), np.array(boxes["low"].tolist()), np.array(boxes["high"].tolist())))
+
+    def near(it):
+        import pyarrow as pa
+
+        names, low, high = sent.value
+        known: dict = {}
+        for batch in it:
+            for a in batch.column(0).to_pylist():
+                pairs = np.array(close_pairs(low, high, eps, (a, a + 1, a, len(low)), known), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(names[pairs[:, k]]) for k in (0, 1)], names=["a", "b"])
+
+    pairs = common.staged(spark.range(0, len(boxes), 1, max(1, min(len(boxes), 256))).mapInArrow(near, "a long, b long"), "vector-pairs")
     side = lambda s: blocks.select(F.col("block").alias(s), "width", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "data")])
-    tiles = pairs.repartition(max(1, min(len(near), 4096)), "a", "b").join(side("a"), "a").join(side("b").drop("width"), "b")
+    tiles = pairs.repartition(max(1, min(pairs.count(), 4096)), "a", "b").join(side("a"), "a").join(side("b").drop("width"), "b")
 
     def join(it):
         import pyarrow as pa
@@ -185,7 +231,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, block: int = BLOCK
         for batch in it:
             for r in batch.to_pylist():
                 sides = [(np.frombuffer(r[f"ids_{s}"], np.int64), np.frombuffer(r[f"counts_{s}"], np.int64), np.frombuffer(r[f"data_{s}"], np.float64).reshape(-1, r["width"])) for s in "ab"]
-                found = joined_blocks(*sides[0], *sides[1], limit, r["a"] == r["b"])
+                found = joined_sequences(*sides[0], *sides[1], limit, r["a"] == r["b"], eps, axes.get(r["width"], np.eye(r["width"])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in found], names=["id", "links", "root"])
 
     found = common.staged(tiles.select("a", "b", "width", *[f"{c}_{s}" for s in "ab" for c in ("ids", "counts", "data")]).mapInArrow(join, "id long, links long, root long"), "vector-links")
