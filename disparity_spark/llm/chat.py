@@ -33,6 +33,21 @@ class Template:
     #: In role names also what ends a name.
     name_escapes: tuple = ((":", "\\c"),)
 
+    def __post_init__(self):
+        """Refuses a template whose output couldn't be read back."""
+        (sign, double), *codes = self.escapes + self.name_escapes
+        plain = [p for p, _ in self.escapes[1:]]
+        if len(sign) != 1 or double != 2 * sign or any(len(c) != 2 or c[0] != sign or c == double for _, c in codes) or len({c for _, c in codes}) < len(codes):
+            raise ValueError("the first escape doubles the sign; every other code is the sign and a character of its own")
+        if not all(any(p in mark for p in plain) for mark in (self.open, self.close)):
+            raise ValueError("an escape must break each mark")
+        if not any(p in self.named for p, _ in self.escapes[1:] + self.name_escapes):
+            raise ValueError("an escape for names must break the mark that ends them")
+        if any(p in c for p, _ in codes for _, c in codes):
+            raise ValueError("a code mustn't hold what is escaped")
+        if any(self.close[:k] == self.close[-k:] for k in range(1, len(self.close))) or any(self.named[:k] == self.named[-k:] for k in range(1, len(self.named))):
+            raise ValueError("a mark that ends something mustn't end as it begins")
+
 
 def _escaped(text: Column, pairs) -> Column:
     for plain, code in pairs:
@@ -40,6 +55,11 @@ def _escaped(text: Column, pairs) -> Column:
     return text
 
 
+def _quoted(plain: str) -> str:
+    """A pattern that matches the string itself."""
+    return "\\Q" + plain.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def _unescaped(text: Column, pairs) -> Column:
     """Splitting at doubled signs, left to right, leaves pieces in which every sign starts a code."""
     (sign, double), rest = pairs[0], pairs[1:]
@@ -49,7 +69,7 @@ def _unescaped(text: Column, pairs) -> Column:
             p = F.replace(p, F.lit(code), F.lit(plain))
         return p
 
-    return F.array_join(F.transform(F.split(text, double.replace("\\", "\\\\")), piece), sign)
+    return F.array_join(F.transform(F.split(text, _quoted(double)), piece), sign)
 
 
 def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
@@ -84,10 +104,10 @@ def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
 def read_back(formatted: Column, template: Template = Template()) -> Column:
     """The turns (role, text) that a formatted string holds."""
     t, names = template, template.escapes + template.name_escapes
-    pieces = F.split(formatted, t.close)
+    pieces = F.split(formatted, _quoted(t.close))
 
     def turn(p):
-        at = F.instr(p, t.named)
+        at = F.locate(t.named, p, len(t.open) + 1)
         name = F.substring(p, F.lit(len(t.open) + 1), at - len(t.open) - 1)
         return F.struct(_unescaped(name, names).alias("role"), _unescaped(F.substring(p, at + len(t.named), F.length(p)), t.escapes).alias("text"))
 
