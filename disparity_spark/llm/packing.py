@@ -6,8 +6,8 @@ capacities finds the tightest open window. Ids never move: only pieces (document
 shuffled, dealt by a hash to groups of about `group_docs` documents that are packed independently, so a group fits in
 a task at any corpus size.
 
-Edge cases: a null or empty text is its end token alone; repeated rows are packed once each; an empty table gives no
-pieces; columns beyond doc_id and text are ignored.
+Edge cases: a null or empty text is its end token alone; repeated rows are packed once each; rows of a null or repeated
+doc_id are dealt by their ids' checksum too; an empty table gives no pieces; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
         rows["sequence_id"], rows["offset"] = sequence + (int(key[0]) << 32), offset
         return rows.drop(columns="group")
 
-    dealt = pieces(docs, tokenizer, ranks, window).withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    dealt = pieces(docs, tokenizer, ranks, window).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)).cast("int"))
     return dealt.groupBy("group").applyInPandas(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
