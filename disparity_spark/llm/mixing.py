@@ -7,7 +7,8 @@ virtual finish time and truncated there, so the copy in service at that moment i
 target to the word.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are never
-taken; an empty table gives an empty result; repeated rows are separate documents; further columns are ignored.
+taken; an empty table gives an empty result; repeated rows are separate documents; rows of a null doc_id are shuffled by
+a hash of their text; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,36 +52,48 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, n_copies, virtual_finish; in order of virtual finish time.
+    """doc_id, text_key (a hash), source, size, source_size, target, taken, n_copies, virtual_finish; in order of virtual finish time.
 
     taken: words served before the clock stops, over all copies. n_copies: whole copies, the cut one rounded.
     virtual_finish: of the first copy. Prefix sums run over (source, hash bucket) groups, so no source meets in a task.
     """
     digits = 2 if docs.count() <= 2_000_000 else 3
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    sizes = common.staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))))
+    sizes = common.staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("text_key")), "mix-sizes")
     targets = common.staged(source_targets(sizes, weights, epochs), "mix-targets")
     keyed = common.join_small(sizes.withColumnRenamed("source", "own"), targets, F.col("own").eqNullSafe(F.col("source"))).drop("own")
     keyed = keyed.withColumn("bucket", F.substring("key", 1, digits))
     sums = keyed.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source_id", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("served", F.sum("size").over(inside)).join(offsets, ["source_id", "bucket"])
     finish = F.col("offset") + F.col("served")
     stop = F.floor(F.col("target") + F.lit(1e-6))
     copies = [F.greatest(F.lit(0), F.least(F.col("size"), stop - (F.lit(e) * F.col("source_size") + finish - F.col("size")))) for e in range(epochs)]
     taken = sum(copies[1:], copies[0]).cast("long")
-    out = placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.try_divide(finish.cast("double"), F.col("target")).alias("virtual_finish"), "key")
+    out = placed.select("doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), F.try_divide(finish.cast("double"), F.col("target")).alias("virtual_finish"), "key")
     out = out.withColumn("n_copies", F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0)))).otherwise(0).cast("int"))
     return out.orderBy("virtual_finish", "key", "doc_id").drop("key")
 
 
 def take_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a document comes as many times as it has whole copies, with its own columns."""
-    counts = mix(docs, **options).filter("n_copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_copies").alias("__copies"))
-    joined = common.join_small(docs, common.staged(counts, "mix-copies"), F.col("doc_id").eqNullSafe(F.col("__id")), most=common.BROADCAST_IDS)  # 12 bytes a row
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """docs as the mix takes them: a document comes as many times as it has whole copies, with its own columns.
+
+    Rows are told apart by doc_id, source and text, so rows of a null or repeated id keep their own numbers. Rows that
+    are equal in all three come as often as they are taken together, with the columns of one of them.
+    """
+    rows = common.staged(mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("n_copies").cast("int").alias("n"), F.count("*").alias("rows")), "mix-rows")
+    counts = rows.filter("n > 0").select(F.struct("doc_id", "source", "text_key").alias("which"), "n")
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key")).alias("which"))
+    repeated = rows.filter("rows > 1 and n > 0").select(F.struct("doc_id", "source", "text_key").alias("which"))
+    if not repeated.isEmpty():
+        same = F.col("which").eqNullSafe(F.col("again"))
+        again = repeated.withColumnRenamed("which", "again")
+        once = common.join_small(held, again, same, "left_semi").dropDuplicates(["which"])
+        held = common.join_small(held, again, same, "left_anti").unionByName(once)
+    joined = common.join_small(held, counts.withColumnRenamed("which", "taken"), F.col("which").eqNullSafe(F.col("taken")), most=common.BROADCAST_IDS // 2)  # some 30 bytes a row
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
 
 
 def query(spark, sf_dir):
