@@ -55,19 +55,26 @@ def sided_counts(source: DataFrame, synthetic: DataFrame) -> DataFrame:
 def ks_statistic(source: DataFrame, synthetic: DataFrame, columns) -> DataFrame:
     """column, ks: the largest difference of the cumulative shares. Null where a side has no numbers.
 
-    Distinct values only go through the window, which adds up within ranges first: values are dealt to ranges by their
-    rounded quantile, so one column's values needn't meet in one task.
+    A first pass takes each column's counts and 63 approximate quantiles (one row a column, to the driver). Distinct
+    values are then dealt to the ranges between them, so that one column's values needn't meet in one task. Within a
+    range the difference is its value at the start, the same for the whole range, plus a running one; so each range
+    only leaves its sums and the extremes of the running difference, and the starts are added up over ranges.
     """
-    counts = sided_counts(long_numbers(source, columns), long_numbers(synthetic, columns))
-    totals = counts.groupBy("column").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.approx_percentile("value", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("cuts"))
-    ranged = counts.join(F.broadcast(totals), "column").withColumn("range", F.size(F.filter("cuts", lambda c: F.col("value") > c)))
-    sums = ranged.groupBy("column", "range").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"))
-    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("column", "range", F.coalesce(F.sum("ra").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("rb").over(before), F.lit(0)).alias("ob"))
+    spark = source.sparkSession
+    sides = [long_numbers(df, columns) for df in (source, synthetic)]
+    both = sides[0].withColumn("side", F.lit(0)).unionByName(sides[1].withColumn("side", F.lit(1)))
+    quantiles = F.approx_percentile("value", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000))
+    totals = both.groupBy("column").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), quantiles.alias("cuts")).collect()
+    known = spark.createDataFrame([(r["column"], r.na, r.nb, r.cuts) for r in totals], "column string, na long, nb long, cuts array<double>")
+    counts = sided_counts(*sides).join(F.broadcast(known), "column").withColumn("range", F.size(F.filter("cuts", lambda c: F.col("value") > c)))
     inside = Window.partitionBy("column", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    steps = ranged.withColumn("ca", F.sum("a").over(inside)).withColumn("cb", F.sum("b").over(inside)).join(F.broadcast(offsets), ["column", "range"])
-    gap = F.abs(ratio(F.col("oa") + F.col("ca"), F.col("na")) - ratio(F.col("ob") + F.col("cb"), F.col("nb")))
-    return steps.groupBy("column").agg(F.max(gap).alias("ks"))
+    share = lambda x, n: ratio(x, F.col(n))
+    steps = counts.withColumn("gap", share(F.sum("a").over(inside), "na") - share(F.sum("b").over(inside), "nb"))
+    ranges = steps.groupBy("column", "range", "na", "nb").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("gap").alias("most"), F.min("gap").alias("least"))
+    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(share(F.sum("a").over(before), "na") - share(F.sum("b").over(before), "nb"), F.lit(0.0))
+    placed = ranges.withColumn("start", start)
+    return placed.groupBy("column").agg(F.max(F.greatest(F.abs(F.col("start") + F.col("most")), F.abs(F.col("start") + F.col("least")))).alias("ks"))
 
 
 def category_shares(source: DataFrame, synthetic: DataFrame, columns) -> DataFrame:
@@ -117,28 +124,30 @@ def marginal_coverage(source: DataFrame, synthetic: DataFrame, numeric, categori
     return out
 
 
-def column_distances(source: DataFrame, synthetic: DataFrame, numeric, categorical) -> DataFrame:
-    """column, type, distance, similarity."""
+def _distances(source: DataFrame, synthetic: DataFrame, numeric, categorical) -> DataFrame:
+    """column, type, distance, major: the last counts vanished categories of a major share."""
     parts = []
     if numeric:
-        parts.append(ks_statistic(source, synthetic, numeric).select("column", F.lit("numeric").alias("type"), F.col("ks").alias("distance")))
+        parts.append(ks_statistic(source, synthetic, numeric).select("column", F.lit("numeric").alias("type"), F.col("ks").alias("distance"), F.lit(0).cast("long").alias("major")))
     if categorical:
-        parts.append(total_variation(category_shares(source, synthetic, categorical)).select("column", F.lit("categorical").alias("type"), F.col("tvd").alias("distance")))
+        gone = (F.col("p") >= MAJOR_SHARE) & (F.col("q") == 0)
+        shares = category_shares(source, synthetic, categorical).groupBy("column").agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("distance"), F.count_if(gone).alias("major"))
+        parts.append(shares.select("column", F.lit("categorical").alias("type"), "distance", "major"))
     if not parts:
         raise ValueError("no shared columns to compare")
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.withColumn("similarity", 1 - F.col("distance"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def column_distances(source: DataFrame, synthetic: DataFrame, numeric, categorical) -> DataFrame:
+    """column, type, distance, similarity."""
+    return _distances(source, synthetic, numeric, categorical).select("column", "type", "distance", (1 - F.col("distance")).alias("similarity"))
 
 
 def fidelity_summary(source: DataFrame, synthetic: DataFrame, numeric, categorical) -> DataFrame:
-    """One row: fidelity_score, n_columns, major_vanished, verdict."""
-    score = column_distances(source, synthetic, numeric, categorical).agg(F.avg("similarity").alias("fidelity_score"), F.count("*").alias("n_columns"))
-    if categorical:
-        major = vanished_categories(category_shares(source, synthetic, categorical)).agg(F.count_if(F.col("source_support") >= MAJOR_SHARE).alias("major_vanished"))
-    else:
-        major = source.sparkSession.range(1).select(F.lit(0).cast("long").alias("major_vanished"))
+    """One row: fidelity_score, n_columns, major_vanished, verdict. Distances and vanished categories come from the same counts."""
+    one = _distances(source, synthetic, numeric, categorical).agg(F.avg(1 - F.col("distance")).alias("fidelity_score"), F.count(F.lit(1)).alias("n_columns"), F.coalesce(F.sum("major"), F.lit(0)).alias("major_vanished"))
     verdict = F.when((F.col("fidelity_score") >= PASS) & (F.col("major_vanished") == 0), "pass").when(F.col("fidelity_score") >= REVIEW, "review").otherwise("fail")
-    return score.crossJoin(F.broadcast(major)).withColumn("verdict", verdict)  # one row each
+    return one.withColumn("verdict", verdict)
 
 
 def audit_fidelity(source: DataFrame, synthetic: DataFrame, numeric, categorical) -> dict:

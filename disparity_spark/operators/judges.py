@@ -216,12 +216,13 @@ def kappa(confusion: DataFrame) -> DataFrame:
 
 
 def label_scores(confusion: DataFrame) -> DataFrame:
-    """label, precision, recall, support."""
+    """label, precision, recall, support. A label that no judge gave has precision 0, one without support has recall 0."""
     hit = F.when(F.col("human") == F.col("judge"), F.col("n")).otherwise(0)
     rows = confusion.groupBy(F.col("human").alias("label")).agg(F.sum("n").alias("support"), F.sum(hit).alias("h"))
     columns = confusion.groupBy(F.col("judge").alias("label")).agg(F.sum("n").alias("given"))
     both = rows.join(columns, "label", "full")
-    return both.select("label", ratio(F.coalesce("h", F.lit(0)), F.col("given")).alias("precision"), ratio(F.col("h"), F.col("support")).alias("recall"), F.coalesce("support", F.lit(0)).alias("support"))
+    share = lambda of: F.coalesce(ratio(F.col("h"), F.col(of)), F.lit(0.0))
+    return both.select("label", share("given").alias("precision"), share("support").alias("recall"), F.coalesce("support", F.lit(0)).alias("support"))
 
 
 #: Labelled starter sets, in our own words: (text, label).

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ CUT = 0.05
 HIGH_MEMORIZATION, LOW_CARDINALITY = 0.10, 0.5
 #: Bytes of features that are broadcast at once.
 BLOCK = 16 << 20
+#: Rows of a side of a tile.
+TILE = 1024
 
 
 def hash_sample(df: DataFrame, columns, rows: int, seed: int = 42) -> DataFrame:
@@ -66,32 +69,51 @@ def nearest(queries: DataFrame, others: DataFrame, same: bool = False, limit: in
 
 
 def _nearest(queries: DataFrame, others: DataFrame, same: bool, keep: bool = False) -> DataFrame:
-    """The distances to a table that is broadcast whole; `keep` leaves the features in."""
+    """The distances to a table that is broadcast whole; `keep` leaves the features in.
+
+    Query rows meet it in tiles: |x|^2 + |y|^2 - 2xy of centred rows finds those near the least, whose distances are
+    then taken from the differences themselves, so that close rows lose no digits.
+    """
     spark = queries.sparkSession
     known = others.select("id", "features").toPandas()
-    sent = spark.sparkContext.broadcast((known["id"].tolist(), known["features"].tolist()))
+    sent = spark.sparkContext.broadcast((known["id"].to_numpy(), np.array(known["features"].tolist(), float)))
 
     def search(it):
-        import numpy as np
         import pandas as pd
 
-        ids, rows = sent.value
-        ids, matrix = np.array(ids), np.array(rows, float)
+        ids, matrix = sent.value
+        centre = matrix.mean(0) if len(ids) else None
         for pdf in it:
             out = []
-            for i, x in zip(pdf["id"], pdf["features"], strict=True):
-                if not len(ids):
-                    out.append(None)
-                    continue
-                squares = ((matrix - np.asarray(x, float)) ** 2).sum(1)
-                if same:
-                    squares = squares[ids != i]
-                out.append(float(np.sqrt(squares.min())) if len(squares) else None)
-            yield pd.DataFrame({**({"features": pdf["features"]} if keep else {}), "id": pdf["id"], "distance": pd.array(out, dtype="Float64")})
+            for at in range(0, len(pdf) if len(ids) else 0, TILE):
+                own = pdf["id"].to_numpy()[at : at + TILE]
+                out.append(least_distances(own, np.array(pdf["features"].iloc[at : at + TILE].tolist(), float), ids, matrix, centre, same))
+            found = np.concatenate(out) if out else np.full(len(pdf), np.inf)
+            distance = pd.array(np.where(np.isinf(found), 0.0, found), dtype="Float64")
+            distance[np.isinf(found)] = pd.NA
+            yield pd.DataFrame({**({"features": pdf["features"]} if keep else {}), "id": pdf["id"], "distance": distance})
 
     return queries.select("id", "features").mapInPandas(search, ("features array<double>, " if keep else "") + "id long, distance double")
 
 
+def least_distances(own, x, ids, matrix, centre, same: bool) -> np.ndarray:
+    """Distance of each row of x to the nearest row of matrix (inf: none); `same` leaves out rows of the query's id."""
+    best = np.full(len(x), np.inf)
+    a = x - centre
+    for at in range(0, len(ids), TILE):
+        b = matrix[at : at + TILE] - centre
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        squares = na[:, None] + nb[None, :] - 2 * (a @ b.T)
+        if same:
+            squares[own[:, None] == ids[None, at : at + TILE]] = np.inf
+        slack = 1e-9 * (na + nb.max(initial=0))  # more than the products can be off
+        i, j = np.nonzero((squares <= (squares.min(1) + slack)[:, None]) & (squares < np.inf))
+        for k in range(0, len(i), 1 << 16):
+            p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            np.minimum.at(best, p, ((x[p] - matrix[at + q]) ** 2).sum(1))
+    return np.sqrt(best)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """id by the order of the features; for samples."""
     from pyspark.sql import Window

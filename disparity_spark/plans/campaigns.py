@@ -245,7 +245,7 @@ SELECT "group", round(mean, 9) AS mean, round(max(mean) OVER () - min(mean) OVER
 e AS (SELECT sum(a.r * coalesce(b.c, 0))::DOUBLE AS e FROM (SELECT human AS x, sum(n) AS r FROM c GROUP BY human) a LEFT JOIN (SELECT judge AS x, sum(n) AS c FROM c GROUP BY judge) b USING (x))
 SELECT n::BIGINT AS n, round(h / n, 9) AS accuracy, round((h / n - e / n / n) / (1 - e / n / n), 9) AS kappa FROM t, e""",
     "per_label_pr": f"""{_conf}, x AS (SELECT human AS label FROM c UNION SELECT judge FROM c)
-SELECT label, round(sum(n) FILTER (human = label AND judge = label)::DOUBLE / nullif(sum(n) FILTER (judge = label), 0), 9) AS "precision", round(sum(n) FILTER (human = label AND judge = label)::DOUBLE / nullif(sum(n) FILTER (human = label), 0), 9) AS recall,
+SELECT label, round(coalesce(sum(n) FILTER (human = label AND judge = label)::DOUBLE / sum(n) FILTER (judge = label), 0), 9) AS "precision", round(coalesce(sum(n) FILTER (human = label AND judge = label)::DOUBLE / sum(n) FILTER (human = label), 0), 9) AS recall,
 coalesce(sum(n) FILTER (human = label), 0)::BIGINT AS support FROM x, c GROUP BY label""",
     "round_strengths_flat": """WITH e AS (SELECT user_id AS campaign, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS round, round(value, 6) AS strength FROM events)
 SELECT *, round >= 2 AND max(strength) OVER (PARTITION BY campaign ORDER BY round ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) <= coalesce(max(strength) OVER (PARTITION BY campaign ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS flat FROM e""",
