@@ -17,7 +17,7 @@ CHUNK = 1_000_000
 
 
 def local_forests(links: DataFrame) -> DataFrame:
-    """a, b: for chunks of at most about CHUNK links, each node but the least of its tree with that least node."""
+    """a, b: for the links of each partition, each node but the least of its tree with that least node."""
 
     def reduce(it):
         import pyarrow as pa
@@ -37,7 +37,7 @@ def local_forests(links: DataFrame) -> DataFrame:
         nodes = [x for x in list(parent) if root(x) != x]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
 
-    return links.repartition(max(1, -(-links.count() // CHUNK))).mapInArrow(reduce, "a long, b long")
+    return links.mapInArrow(reduce, "a long, b long")
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -49,9 +49,11 @@ def _least(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the least node reachable) for every node of the links (a, b); self links and nulls are ignored."""
     plain = links.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    forest = local_forests(common.staged(plain, "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    plain = common.staged(plain, "links")
+    chunks = -(-plain.count() // CHUNK)
+    forest = local_forests(plain.repartition(max(1, chunks))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     edges, seen = common.staged(forest.distinct(), "links"), None
-    for _ in range(rounds):
+    for _ in range(rounds if chunks > 1 else 0):  # one chunk's forest is whole
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         near = _least(large)
@@ -62,6 +64,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if chunks > 1:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
