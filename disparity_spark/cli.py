@@ -45,15 +45,28 @@ def _audited(spark, data: str, args: dict) -> AuditResult:
 def verify(spark, report: dict, data: str, thresholds: dict | None = None) -> dict:
     """Seven checks of a report against its data."""
     found = report.get("provenance") or {}
-    known = found.get("input") or {}
-    rerun = _audited(spark, data, found["run"]["args"]) if found.get("run", {}).get("command") == "audit" else None
-    same = rerun is not None and all(getattr(rerun, m) == report.get(m) for m in METRICS) and rerun.to_dict()["groups"] == report["groups"] and rerun.confidence_intervals == report.get("confidence_intervals", {})
+    known, ledger = found.get("input") or {}, provenance.Ledger(report)
+    rerun, failed = None, "the report wasn't made by an audit"
+    if found.get("run", {}).get("command") == "audit":
+        try:
+            rerun = _audited(spark, data, found["run"]["args"])
+        except (ValueError, KeyError) as e:
+            failed = f"the audit can't be run again: {e}"
+    differ = [failed] if rerun is None else [m for m in METRICS if getattr(rerun, m) != report.get(m)] + ["groups"] * (rerun.to_dict()["groups"] != report["groups"]) + ["confidence_intervals"] * (rerun.confidence_intervals != report.get("confidence_intervals", {}))
     status = gate.evaluate_gate_status(AuditResult.from_dict(report), thresholds)["status"]
-    checks = {
-        "provenance_present": bool(found), "data_hash": bool(known) and _inputs(spark, data, known.get("rows")) == known | {"path": data}, "row_count": rerun is not None and rerun.n_total == known.get("rows"),
-        "body_hash": provenance.check_body_hash(report), "signoff_chain": provenance.check_signoff_chain(report), "deterministic_rerun": same, "gate_status": thresholds is not None or status == (found.get("gate") or {}).get("status"),
-    }
-    return {"verified": all(checks.values()), "checks": [{"check": k, "passed": bool(v)} for k, v in checks.items()]}
+    recorded = (found.get("gate") or {}).get("status")
+    now = _inputs(spark, data, known.get("rows"))
+    #: check -> what is wrong; empty if nothing is.
+    wrong = {
+        "provenance_present": "" if found else "the report has no provenance",
+        "data_hash": "no input is recorded" if not known else "" if now == known | {"path": data} else f"the data was changed after the audit: {', '.join(k for k in now if k != 'path' and now[k] != known.get(k))}",
+        "row_count": failed if rerun is None else "" if rerun.n_total == known.get("rows") else f"{rerun.n_total} rows, {known.get('rows')} recorded",
+        "body_hash": "; ".join(ledger.body_breaks()),
+        "signoff_chain": "; ".join(ledger.chain_breaks()),
+        "deterministic_rerun": f"a new run differs: {', '.join(differ)}" if differ else "",
+        "gate_status": "" if thresholds is not None or status == recorded else f"the status is {status}, {recorded} recorded",
+    }
+    return {"verified": not any(wrong.values()), "checks": [{"check": k, "passed": not v, "detail": v or ("status " + status if k == "gate_status" else "holds")} for k, v in wrong.items()]}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -98,7 +111,7 @@ def run(a: argparse.Namespace) -> int:
         print(json.dumps(out, indent=2))
         return 0 if out["verified"] else 1
     if a.command == "signoff":
-        signed = provenance.sign(sources.load_report(a.report), a.reviewer, a.decision, a.note)
+        signed = provenance.Ledger(sources.load_report(a.report)).signed(a.reviewer, a.decision, a.note)
         Path(a.report).write_text(json.dumps(signed, indent=2, ensure_ascii=False), encoding="utf-8")
         return 0
     config = synthetic.SyntheticAuditConfig.from_dict(sources.load_yaml(a.config))
@@ -106,7 +119,7 @@ def run(a: argparse.Namespace) -> int:
     document = synthetic.audit_synthetic(*frames, config, a.bootstrap, a.bootstrap_seed)
     inputs = {name: _inputs(spark, path, document[f"n_{name}"]) for name, path in (("source", a.source), ("synthetic", a.synthetic))}
     document["provenance"] = provenance.build_provenance("audit-synthetic", {"config": a.config, "bootstrap": a.bootstrap}, a.bootstrap_seed, inputs)
-    Path(a.out).write_text(json.dumps(provenance.attach_body_hash(document), indent=2, ensure_ascii=False), encoding="utf-8")
+    Path(a.out).write_text(json.dumps(provenance.Ledger(document).sealed(), indent=2, ensure_ascii=False), encoding="utf-8")
     return gate.EXIT[document["verdict"]]
 
 

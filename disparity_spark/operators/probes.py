@@ -7,6 +7,7 @@ invariant, meta. Generation is a projection with explode over the base rows; eva
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -256,3 +257,50 @@ def generate_llm_assisted(reply: str, attributes: dict[str, list], base_fields:
             kept.append({"pair_id": f"llm-{name}-{len(kept)}", "attribute": name, "a": mirror, "b": row})
     dropped += [{"candidate": r, "reason": "no_mirror"} for rows in waiting.values() for r in rows]
     return kept, dropped
+
+
+def propose_probes(spark: SparkSession, target, brief: str, attributes: dict[str, list], base_fields: Iterable[str], n: int = 10, seed: int | None = None) -> tuple[DataFrame, dict]:
+    """(batch of the pairs that hold, report) of n candidates that a text target is asked for; an empty reply is asked for once more.
+
+    A proposal is one reply of bounded length, so its rows are made on the driver.
+    """
+    if target is None or not target.supports_generate:
+        raise RuntimeError(f"proposals need a target that generates text; got {target!r}")
+    if not brief.strip() or n < 1:
+        raise ValueError("a brief and a positive number of candidates are needed")
+    fields = list(base_fields)
+    declared = "; ".join(f"{k}: {', '.join(map(str, v))}" for k, v in attributes.items())
+    prompt = f"Propose {n} inputs that test a system for unequal treatment.\nSystem: {brief.strip()}\nAttributes and values: {declared}\nFields: {', '.join(fields)}\nReply with a JSON array of objects {{\"row\": all fields with values, \"attribute\": the attribute tested}}. Every row needs a twin that differs in that attribute alone."
+    asked, reply = 0, ""
+    while asked < 2 and not reply.strip():
+        asked, reply = asked + 1, next(iter(target.generate([prompt])), "") or ""
+    kept, dropped = generate_llm_assisted(reply, attributes, fields)
+    rows = []
+    for pair in kept:
+        first, second = (str(pair[side][pair["attribute"]]) for side in "ab")
+        for side in "ab":
+            row = [(name, None if pair[side][name] is None else str(pair[side][name])) for name in fields]
+            meta = {"pair_id": pair["pair_id"], "attribute": pair["attribute"], "first": first, "second": second, "mode": "tabular", "proposed_kind": "counterfactual"}
+            rows.append((f"{pair['pair_id']}-{side}", "llm_assisted", None, row, {pair["attribute"]: str(pair[side][pair["attribute"]])}, f"the output does not depend on {pair['attribute']}", meta))
+    reasons = dict(Counter(d["reason"] for d in dropped)) | ({} if reply.strip() else {"empty_reply": 1})
+    return spark.createDataFrame(rows, SCHEMA), {"requested": n, "kept": len(rows), "discarded": len(dropped), "reasons": reasons, "asked": asked, "seed": seed}
+
+
+def chosen(batch: DataFrame, kind: str | None = None, attribute: str | None = None, value: str | None = None) -> DataFrame:
+    """The probes of a kind, or that set an attribute (to a value)."""
+    if kind is not None:
+        batch = batch.filter(F.col("kind") == kind)
+    if attribute is not None:
+        batch = batch.filter(F.map_contains_key("attributes", F.lit(attribute)))
+        batch = batch if value is None else batch.filter(F.col("attributes")[attribute] == value)
+    return batch
+
+
+def pair_groups(batch: DataFrame) -> DataFrame:
+    """pair_id, ids (sorted) of the probes that belong together."""
+    return batch.withColumn("pair_id", F.coalesce(F.col("meta")["pair_id"], F.col("meta")["group_id"])).filter("pair_id is not null").groupBy("pair_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def told(batch: DataFrame) -> DataFrame:
+    """One JSON event for each probe, as the evidence log takes it."""
+    return batch.select("id", F.to_json(F.struct("id", "kind", "payload_text", "payload_row", "attributes", "invariant", "meta")).alias("event"))

@@ -8,7 +8,8 @@ from pathlib import Path
 
 from .disparity import METRICS, AuditResult
 from .gate import evaluate_gate_status
-from .provenance import attach_body_hash, utc_now
+from .. import __version__
+from .provenance import Ledger, git_info, utc_now
 from .regulatory import mappings_for_report, rmf_section
 
 CONFIRMED = 0.2
@@ -64,7 +65,7 @@ def _save(stem: str, document: dict, md: str, page: str) -> dict[str, Path]:
     out["md"].parent.mkdir(parents=True, exist_ok=True)
     out["md"].write_text(md, encoding="utf-8")
     out["html"].write_text(page, encoding="utf-8")
-    out["json"].write_text(json.dumps(attach_body_hash(document), indent=2, ensure_ascii=False), encoding="utf-8")
+    out["json"].write_text(json.dumps(Ledger(document).sealed(), indent=2, ensure_ascii=False), encoding="utf-8")
     return out
 
 
@@ -80,8 +81,11 @@ def build_report(campaign: dict, target: dict, judges: list[dict] = (), provenan
     verdict = "disparity_found" if best >= CONFIRMED else "no_material_disparity"
     summary = f"{campaign['probes_used']} probes in {campaign['rounds']} rounds; the strongest signal is {best:.4f}" + (f" ({top['generator']}, round {top['round']})." if top else ".")
     cards = [{k: j.get(k) for k in ("judge_id", "model_id", "kappa", "accuracy", "n_paired", "passed", "per_label")} for j in judges]
+    how = {"generators": sorted({f["generator"] for f in campaign["findings"]}), "statistics": "computed by aggregation over all probes of a round, never by a model", "judges": cards}
+    again = {"seed": campaign["seed"], "brief": campaign["brief"], "evidence": campaign["evidence_path"]}
     return {
-        "title": "Probe campaign", "generated_utc": utc_now(), "verdict": verdict, "executive_summary": summary, "target": target, "brief": campaign["brief"], "seed": campaign["seed"],
+        "title": "Probe campaign", "generated_utc": utc_now(), "package_version": __version__, "git_commit": git_info()["git_sha"], "verdict": verdict, "flag_threshold": CONFIRMED, "executive_summary": summary,
+        "target": target, "target_name": target.get("name") or target.get("model") or target.get("type", ""), "methodology": how, "reproducibility": again, "brief": campaign["brief"], "seed": campaign["seed"],
         "rounds": campaign["rounds"], "probes_used": campaign["probes_used"], "stop_reason": campaign["stop_reason"], "findings": campaign["findings"], "best_strength": best, "judges": cards,
         "evidence": {"path": campaign["evidence_path"], "n_events": campaign["n_events"]}, "risk_framework": mappings_for_report(bool(cards)),
         "limits": "Only the probed scenarios are covered; findings call for confirmation on decision data.", "provenance": provenance or {},

@@ -11,7 +11,8 @@ from . import amplification, fidelity, privacy
 from .disparity import AuditSpec
 
 ORDER = ("pass", "review", "fail")
-AXES = {"fidelity": ("pass", "review"), "privacy": ("low_risk", "review_risk"), "bias": ("factor_fail", "growth_fail")}
+#: The limits of each axis under the names that a configuration uses.
+LIMITS = {"fidelity": {"pass_score": fidelity.PASS, "review_score": fidelity.REVIEW}, "privacy": {"pass_risk": privacy.LOW_RISK, "review_risk": privacy.REVIEW_RISK}, "bias": amplification.LIMITS}
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,10 @@ class SyntheticAuditConfig:
         if not isinstance(document.get("truth"), str) or not document.get("groups"):
             raise ValueError("the configuration needs truth and groups")
         for axis, limits in (document.get("thresholds") or {}).items():
-            if axis not in AXES or not set(limits) <= set(AXES[axis]):
+            if axis not in LIMITS or not isinstance(limits, dict) or not set(limits) <= set(LIMITS[axis]):
                 raise ValueError(f"unknown threshold in {axis!r}")
+            if wrong := [k for k, v in limits.items() if isinstance(v, bool) or not isinstance(v, (int, float))]:
+                raise ValueError(f"thresholds must be numbers: {', '.join(wrong)}")
         tupled = {k: tuple(v) if isinstance(v, list) else v for k, v in document.items()}
         return cls(**tupled | {"thresholds": document.get("thresholds") or {}})
 
@@ -46,21 +49,13 @@ class SyntheticAuditConfig:
 
 
 def _judged(axis: dict, name: str, limits: dict) -> dict:
-    """An axis under overridden limits."""
-    if not limits:
-        return axis
+    """The fidelity or privacy axis under its limits."""
     if name == "fidelity":
-        top, low, score = limits.get("pass", fidelity.PASS), limits.get("review", fidelity.REVIEW), axis["fidelity_score"]
+        score = axis["fidelity_score"]
         major = any(f["code"] == "vanished_categories" and f["source_support"] >= fidelity.MAJOR_SHARE for f in axis["findings"])
-        return axis | {"verdict": ("review" if major else "pass") if score >= top else "review" if score >= low else "fail"}
-    if name == "privacy":
-        low, review, risk = limits.get("low_risk", privacy.LOW_RISK), limits.get("review_risk", privacy.REVIEW_RISK), axis["privacy_risk"]
-        return axis | {"verdict": "pass" if risk <= low else "review" if risk <= review else "fail"}
-    top, grown = limits.get("factor_fail", amplification.FACTOR_FAIL), limits.get("growth_fail", amplification.GROWTH_FAIL)
-    growth = axis["metrics"]["gap_growth"].values()
-    if (axis["amplification_factor"] or 0) > top or any(g > grown for g in growth):
-        return axis | {"verdict": "fail"}
-    return axis | {"verdict": "review" if axis["findings"] and axis["verdict"] != "pass" else axis["verdict"]}
+        return axis | {"verdict": ("review" if major else "pass") if score >= limits["pass_score"] else "review" if score >= limits["review_score"] else "fail"}
+    risk = axis["privacy_risk"]
+    return axis | {"verdict": "pass" if risk <= limits["pass_risk"] else "review" if risk <= limits["review_risk"] else "fail"}
 
 
 def audit_synthetic(source: DataFrame, synthetic: DataFrame, config: SyntheticAuditConfig, bootstrap: int = 200, bootstrap_seed: int = 42) -> dict:
@@ -69,10 +64,11 @@ def audit_synthetic(source: DataFrame, synthetic: DataFrame, config: SyntheticAu
     if not all(counts):
         raise ValueError("both tables need rows")
     numeric, categorical = fidelity.resolve_columns(source, synthetic, config.numeric, config.categorical, config.exclude)
+    limits = {name: known | (config.thresholds.get(name) or {}) for name, known in LIMITS.items()}
     axes = {
         "fidelity": fidelity.audit_fidelity(source, synthetic, numeric, categorical),
         "privacy": privacy.audit_privacy(source, synthetic, numeric, categorical, seed=config.seed),
-        "bias": amplification.audit_bias_amplification(source, synthetic, config.spec, bootstrap, bootstrap_seed),
+        "bias": amplification.audit_bias_amplification(source, synthetic, config.spec, bootstrap, bootstrap_seed, limits["bias"]),
     }
-    axes = {k: _judged(v, k, config.thresholds.get(k) or {}) for k, v in axes.items()}
+    axes |= {k: _judged(axes[k], k, limits[k]) for k in ("fidelity", "privacy")}
     return {"verdict": max((a["verdict"] for a in axes.values()), key=ORDER.index), "version": __version__, "axes": axes, "columns": {"numeric": numeric, "categorical": categorical}, "n_source": counts[0], "n_synthetic": counts[1]}

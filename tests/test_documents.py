@@ -47,7 +47,7 @@ def test_synthetic_command(spark, table, tmp_path):
     config = tmp_path / "s.yml"
     config.write_text("truth: on_time\npred: priority_route\ngroups: [group]\nexclude: [driver_id]\n")
     assert cli.main(["audit-synthetic", table, table, "--config", str(config), "--bootstrap", "10", "--out", str(tmp_path / "s.json")]) in (0, 1, 2)
-    assert provenance.check_body_hash(json.loads((tmp_path / "s.json").read_text()))
+    assert provenance.Ledger(json.loads((tmp_path / "s.json").read_text())).body_breaks() == []
 
 
 def test_generate_command(spark, tmp_path):
@@ -57,11 +57,16 @@ def test_generate_command(spark, tmp_path):
 
 
 def test_signoff_chain():
-    d = provenance.attach_body_hash({"a": 1})
-    d = provenance.sign(provenance.sign(d, "x", "approve"), "y", "reject")
-    assert provenance.check_signoff_chain(d) and provenance.check_body_hash(d)
-    d["signoffs"][0]["note"] = "changed"
-    assert not provenance.check_signoff_chain(d)
+    d = provenance.Ledger(provenance.Ledger({"a": "ä"}).sealed()).signed("x", "approve")
+    d = provenance.Ledger(d).signed("y", "reject")
+    ledger = provenance.Ledger(d)
+    assert ledger.chain_breaks() == [] == ledger.body_breaks() and d["signoffs"][1]["prev_hash"] == provenance.canonical_hash(d["signoffs"][0])
+    changed = provenance.Ledger(d | {"signoffs": [d["signoffs"][0] | {"note": "changed"}, d["signoffs"][1]]})
+    assert changed.chain_breaks() == ["sign-off 1 was changed after signing", "sign-off 2 doesn't follow from what stands before it"]
+    assert provenance.Ledger(d | {"a": "b"}).body_breaks()[0].startswith("the body was changed") and provenance.Ledger({}).body_breaks() == ["there is no provenance"]
+    assert provenance.Ledger(d | {"signoffs": [{"reviewer": "z"}]}).chain_breaks() == ["sign-off 1 lacks decision, timestamp_utc, prev_hash, record_hash"]
+    with pytest.raises(ValueError, match="sign-off 1"):
+        changed.signed("z", "approve")
 
 
 def test_content_digest_ignores_order(spark):

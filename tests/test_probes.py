@@ -47,6 +47,8 @@ def test_text_templates(spark):
 def test_adversarial(spark, base):
     rows = P.adversarial_rows(base, ["tenure_months"], ["group"])
     assert {r.strategy: r["count"] for r in rows.select(F.col("meta")["strategy"].alias("strategy")).groupBy("strategy").count().collect()} == {"extreme_value": 4, "unseen_category": 2, "null_row": 1}
+    whole = T.TabularTarget(lambda f: (_ for _ in ()).throw(RuntimeError("too many")) if len(f) > 1 else [1])
+    assert P.error_rate(T.run_target(rows, whole)).first().n_errors == 0  # a batch that fails is tried probe by probe
     strict = T.TabularTarget(lambda f: [int(float(v)) for v in f["tenure_months"]])
     assert P.error_rate(T.run_target(rows, strict)).first().n_errors == 1
     prompts = P.adversarial_prompts(spark, 500)
@@ -80,6 +82,20 @@ def test_proposals():
     assert P.generate_llm_assisted("nothing", {}, []) == ([], [])
 
 
+def test_proposals_of_a_target(spark):
+    rows = [{"row": {"g": g, "n": 1}, "attribute": "g"} for g in ("a", "b", "z")]
+    replies = iter(["", "Here: " + json.dumps(rows)])
+    batch, report = P.propose_probes(spark, T.RagTarget(lambda q: next(replies)), "a loan desk", {"g": ["a", "b"]}, ["g", "n"], n=3, seed=4)
+    assert report == {"requested": 3, "kept": 2, "discarded": 1, "reasons": {"undeclared_value": 1}, "asked": 2, "seed": 4}
+    assert [(r.id, r.kind, r.attributes["g"]) for r in batch.orderBy("id").collect()] == [("llm-g-0-a", "llm_assisted", "a"), ("llm-g-0-b", "llm_assisted", "b")]
+    assert P.chosen(batch, attribute="g", value="b").count() == 1 and P.chosen(batch, kind="x").count() == 0
+    assert [r.ids for r in P.pair_groups(batch).collect()] == [["llm-g-0-a", "llm-g-0-b"]] and json.loads(P.told(batch).first().event)["kind"] == "llm_assisted"
+    none, report = P.propose_probes(spark, T.RagTarget(lambda q: ""), "x", {"g": ["a", "b"]}, ["g"])
+    assert none.count() == 0 and report["reasons"] == {"empty_reply": 1}
+    with pytest.raises(RuntimeError):
+        P.propose_probes(spark, None, "x", {}, [])
+
+
 def test_judges(spark):
     scores = spark.createDataFrame([("A", "warm", False), ("A", "warm", False), ("B", "warm", False), ("B", "cold", False), ("B", "cold", False), ("B", "cold", False), ("A", "unscored", True)], "group string, label string, unscored boolean").withColumn("judge_id", F.lit("tone-v1"))
     out = J.aggregate_judge_findings(scores, J.TONE_SCALE)
@@ -128,23 +144,54 @@ def test_bad_plans_stop(reply):
     assert spec.action == "stop" and spec.reason.startswith("planner_")
 
 
-def test_budgets():
-    t = C.BudgetTracker(C.Budget(max_probes=5, max_rounds=3))
-    for s in (0.5, 0.5, 0.4):
-        t.record_probes(1), t.record_round(s)
-    assert t.is_flat() and t.exhausted() == "max_rounds" and t.best_strength() == 0.5
-    t.record_probes(2)
-    assert t.exhausted() == "max_probes"
+def test_standing():
+    rounds = [{"n_probes": 1, "strength": s} for s in (0.5, 0.5, 0.4)]
+    now = C.standing(C.Budget(max_probes=5, max_rounds=3), rounds)
+    assert now == {"best": 0.5, "used": 3, "probes": 2, "rounds": 0, "cap": "max_rounds", "flat": True}
+    assert C.standing(C.Budget(max_probes=3, max_rounds=3), rounds)["cap"] == "max_probes"
+    assert C.standing(C.Budget(max_cost=2.0, cost_per_probe=0.5, cost_per_plan=0.25), rounds, plans=2)["cap"] == "max_cost"
+    assert not C.standing(C.Budget(), rounds[:2])["flat"] and not C.standing(C.Budget(flat_rounds=0), rounds)["flat"] and C.standing(C.Budget(), [])["best"] == 0.0
+
+
+def test_standing_agrees_with_the_table_form(spark):
+    strengths = [0.0, 0.2, 0.2, 0.1, 0.3, 0.3, 0.25, 0.3]
+    table = spark.createDataFrame([("c", i, s) for i, s in enumerate(strengths, 1)], "campaign string, round int, strength double")
+    for k in (1, 2, 3):
+        got = [r.flat for r in C.flat_rounds(table, k).orderBy("round").collect()]
+        assert got == [C.standing(C.Budget(flat_rounds=k), [{"n_probes": 0, "strength": s} for s in strengths[:i]])["flat"] for i in range(1, 9)]
+
 
+def test_replies(spark, tmp_path):
+    path = tmp_path / "c" / "replies.jsonl"
+    replies = C.Replies(str(path))
+    replies[{"a": 1}], replies[["b"]], replies[{"a": 1}] = "x", "y", "z"
+    with path.open("a") as f:
+        f.write('{"key": "torn')
+    again = C.Replies(str(path))
+    assert again[{"a": 1}] == "z" and ["b"] in again and ["c"] not in again and len(again) == 2
+    again["d"] = "w"  # after the torn line
+    assert C.Replies(str(path))["d"] == "w"
+    del again["d"]
+    assert len(path.read_text().splitlines()) == 2 and C.Replies(str(path)).table(spark).count() == 2
 
-def test_caches(spark, base, tmp_path):
-    cache = C.ResponseCache(str(tmp_path / "c.json"))
-    cache.store({"a": 1}, "x"), cache.save()
-    assert C.ResponseCache(str(tmp_path / "c.json")).lookup({"a": 1}) == (True, "x")
-    (tmp_path / "c.json").write_text("{broken")
-    assert C.ResponseCache(str(tmp_path / "c.json")).size == 0
+
+def test_cached_runs(spark, base):
     batch = P.generate_counterfactuals(base, {"group": ["FT", "PT", "temp"]})
     empty = spark.createDataFrame([], "key string, output string")
     out, fresh = C.run_cached(batch, Planted(), empty)
     assert out.count() == 6 and fresh.count() == 3
     assert C.run_cached(batch, Planted(), fresh)[1].count() == 0
+
+
+def test_malformed_replies_are_errors(spark):
+    sent = []
+
+    def post(url, body, headers):
+        sent.append(body)
+        return {"choices": [{"message": {"content": None}}]} if "fine" in body["messages"][0]["content"] else {"odd": 1}
+
+    target = T.ChatCompletionsTarget("http://x", "m", transport=post, extra={"seed": 7})
+    assert target.generate(["fine"]) == [""] and sent[0]["seed"] == 7
+    for bad in (target, T.LocalChatTarget("http://x", "m", transport=post)):
+        with pytest.raises(ValueError, match="malformed"):
+            bad.generate(["broken"])

@@ -71,9 +71,9 @@ def test_one_group_has_no_gap_growth(spark):
 
 
 def test_configuration():
-    c = synthetic.SyntheticAuditConfig.from_dict({"truth": "t", "groups": ["g"], "thresholds": {"fidelity": {"pass": 0.95}}})
+    c = synthetic.SyntheticAuditConfig.from_dict({"truth": "t", "groups": ["g"], "thresholds": {"fidelity": {"pass_score": 0.95}, "bias": {"max_amplification": 2, "review_gap_growth": 0.2}}})
     assert c.spec.groups == ("g",)
-    for bad in ({}, {"truth": "t", "groups": ["g"], "x": 1}, {"truth": "t", "groups": ["g"], "thresholds": {"x": {}}}):
+    for bad in ({}, {"truth": "t", "groups": ["g"], "x": 1}, {"truth": "t", "groups": ["g"], "thresholds": {"x": {}}}, {"truth": "t", "groups": ["g"], "thresholds": {"bias": {"max_gap_growth": "much"}}}):
         with pytest.raises(ValueError):
             synthetic.SyntheticAuditConfig.from_dict(bad)
 
@@ -98,3 +98,19 @@ def test_nearest_takes_others_of_any_size_in_blocks(spark):
     for same in (False, True):
         whole, blocks = (sorted(map(tuple, privacy.nearest(df, df, same, **how).collect())) for how in ({"limit": 1000}, {"limit": None, "block": 16 * 40}))
         assert blocks == whole and len(whole) == 152
+
+
+def test_bias_findings():
+    side = lambda ratio, gap=0.0: {"disparate_impact_ratio": ratio, "demographic_parity_diff": gap, "tpr_gap": None, "fpr_gap": 0.0}
+    apart = dict.fromkeys(side(1.0), True)
+
+    def codes(a, b, limits=amplification.LIMITS, apart=apart):
+        verdict, found = amplification.bias_findings(a, b, apart, limits)
+        return verdict, [f["code"] for f in found]
+
+    assert codes(side(0.5), side(0.3)) == ("fail", ["bias_amplified"]) and codes(side(0.5), side(0.3), amplification.LIMITS | {"max_amplification": 2}) == ("review", ["bias_drift"])
+    assert codes(side(0.95), side(0.85)) == ("review", ["disparity_drift"]) and codes(side(0.95), side(0.7)) == ("fail", ["disparity_introduced"])
+    assert codes(side(0.5), side(0.44, 0.07)) == ("review", ["bias_drift"])  # both drift: told once
+    assert codes(side(0.5), side(0.44, 0.2)) == ("fail", ["gap_grew"]) and codes(side(0.5), side(0.9)) == ("pass", ["bias_dampened"])
+    assert codes(side(0.5), side(0.9, 0.2)) == ("fail", ["gap_grew"])  # dampening is told only if all is well
+    assert codes(side(0.5), side(0.3, 0.2), apart=dict.fromkeys(apart, False)) == ("pass", []) and codes(side(None), side(0.3)) == ("pass", [])
