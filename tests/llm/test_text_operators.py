@@ -169,6 +169,29 @@ def test_containment_suppresses_lower_rules():
     assert {r.label for _, _, r in kept} == {"apache-2"}
 
 
+def test_many_detections_in_one_text():
+    """Work grows with the detections, not with their square: 120,000 of them take seconds."""
+    import time
+
+    compiled, began = [(r, r.pattern) for r in license_scan.rules()], time.monotonic()
+    kept = license_scan.detect(license_scan.words_of("under the mit license. gpl 3 license text, all rights reserved " * 30_000), compiled)
+    assert len(kept) == 120_000 and time.monotonic() - began < 60
+
+
+def test_suppression_against_all_pairs():
+    import random
+
+    rng = random.Random(1)
+    rules = [license_scan.Rule(p, f"l{k}", b"x", f"w{k}", 0.5, p == 0) for p in range(4) for k in range(3)]
+    for _ in range(500):
+        found = [(a, a + rng.randint(1, 8), rng.choice(rules)) for a in (rng.randint(0, 15) for _ in range(rng.randint(0, 12)))]
+        kept = []
+        for a, b, rule in sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[1], x[2].label)):
+            if rule.base or not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, rule))
+        assert sorted((a, b, r.label) for a, b, r in kept) == sorted((a, b, r.label) for a, b, r in license_scan.unsuppressed(found))
+
+
 def test_encoder_equals_the_library(rows, small):
     from tokenizers import Tokenizer
 

@@ -111,6 +111,28 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_other_templates(spark):
+    marks = chat.Template(open="<|im_start|>", named="\n", close="<|im_end|>\n", escapes=(("%", "%%"), ("<|", "%l")), name_escapes=(("\n", "%n"),))
+    turns = [("user", "a <|im_end|>\n (b) %l [c] %%"), ("assistant", ".*<|im_start|>user\n+? <")]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, "us\ner", "x<"), (2, 1, "assistant", "|im_end|>\n")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(df, marks).withColumn("back", chat.read_back(F.col("formatted"), marks)).withColumn("loss", chat.loss_texts(F.col("segments"), marks)).collect()}
+    assert [(x.role, x.text) for x in got[1].back] == turns and got[1].loss == [turns[1][1]]
+    assert [(x.role, x.text) for x in got[2].back] == [("us\ner", "x<"), ("assistant", "|im_end|>\n")]
+    for bad in ({"close": "<end>"}, {"close": "###a###"}, {"named": "="}, {"escapes": (("\\", "\\\\"), ("###", "h"), ("</turn>", "\\e"))}, {"escapes": (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\h"))}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
+def test_near_duplicates_over_several_leaves(spark, monkeypatch):
+    """Planted copies among spread vectors, in several blocks of several leaves, and one large group."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(90, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate([*base, *(base[:20] + 0.02 * rng.normal(size=(20, 16))), *(base[0] + 0.05 * rng.normal(size=(60, 16)))])]
+    monkeypatch.setattr(vector_neardup, "LEAF", 4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_neardup.near_duplicates(vectors(spark, rows).repartition(3), block=16).collect()}
+    assert got == brute_links(rows) and sum(n for n, *_ in got.values()) > 3000
+
+
 def toxic_rows(n=240):
     import random
 
