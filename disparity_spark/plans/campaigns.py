@@ -218,7 +218,28 @@ _tone = """j AS (SELECT role AS g, CASE WHEN length(text) < 20 THEN 'unscored' W
 k AS (SELECT * FROM j WHERE label <> 'unscored'), r AS (SELECT a.g AS "group", b.label, count(*) FILTER (k.label = b.label)::DOUBLE / count(*) AS rate FROM (SELECT DISTINCT g FROM k) a, (SELECT DISTINCT label FROM k) b JOIN k ON true WHERE k.g = a.g GROUP BY a.g, b.label),
 q AS (SELECT label, max(rate) - min(rate) AS gap FROM r GROUP BY label)"""
 _conf = f"WITH {B.SQL_LABELLED}, c AS (SELECT truth::VARCHAR AS human, CAST(n_chars >= 200 AS INT)::VARCHAR AS judge, count(*) AS n FROM l GROUP BY ALL)"
+_unit = lambda name: f"(('0x' || substr(md5('{name}:42:' || id), 1, 13))::BIGINT::DOUBLE / {1 << 52}::DOUBLE)"
+
+
+def _sql_groups(groups: dict) -> str:
+    """id, g, penalty of 5000 generated rows."""
+    low, label, penalty = 0.0, "", ""
+    for name, (share, cost) in groups.items():
+        low += share
+        label += f" WHEN u < {low!r}::DOUBLE THEN '{name}'"
+        penalty += f" WHEN u < {low!r}::DOUBLE THEN {cost!r}::DOUBLE"
+    name, (_, cost) = list(groups.items())[-1]
+    return f"""u AS (SELECT range AS id, {_unit('group').replace('id)', 'range)')} AS u FROM range(5000)), g AS (SELECT id, CASE{label} ELSE '{name}' END AS g, CASE{penalty} ELSE {cost!r}::DOUBLE END AS penalty FROM u)"""
+
+
+_chance = lambda base: f"least(greatest({base}::DOUBLE - 0.5::DOUBLE * penalty, 0.01::DOUBLE), 0.99::DOUBLE)"
 ORACLES = {
+    "generate_dispatch": f"""WITH {_sql_groups(sources.DISPATCH)}, p AS (SELECT *, CAST({_unit('priority')} < {_chance(0.55)} AS INT) AS priority FROM g)
+SELECT printf('DRV-%06d', id) AS driver_id, g AS "group", CAST(20 + floor({_unit('packages')} * 100) AS INT) AS packages_assigned, priority AS priority_route, CAST({_unit('on_time')} < 0.86::DOUBLE + 0.06::DOUBLE * priority AS INT) AS on_time FROM p""",
+    "generate_staffing": f"""WITH {_sql_groups(sources.STAFFING)}, p AS (SELECT *, CAST(1 + floor({_unit('tenure')} * 59) AS INT) AS tenure FROM g)
+SELECT printf('WRK-%06d', id) AS worker_id, g AS "group", tenure AS tenure_months, CAST(1 + floor({_unit('requested')} * 7) AS INT) AS shifts_requested, CAST({_unit('granted')} < {_chance(0.60)} AS INT) AS shifts_granted,
+CAST({_unit('completed')} < 0.80::DOUBLE + 0.05::DOUBLE * tenure / 60 AS INT) AS completed_satisfactorily FROM p""",
+    "mapinpandas_target_scores": f"WITH {_mirror} SELECT pair_id || '-' || tag AS id, CASE WHEN brand = 'temp' AND p_size < 24 THEN '0' ELSE '1' END AS output, NULL::VARCHAR AS error FROM m",
     "counterfactual_pairs": f"WITH {_mirror} SELECT pair_id || '-' || tag AS id, 'p_name=' || p_name || ';p_brand=' || brand || ';p_size=' || p_size AS payload FROM m",
     "counterfactual_gap": f"""WITH {_mirror}, r AS (SELECT brand AS value, avg(CASE WHEN brand = 'temp' AND p_size < 24 THEN 0.0::DOUBLE ELSE 1 END) AS o FROM m GROUP BY brand)
 SELECT 'p_brand' AS attribute, value, round(o, 9) AS outcome_rate, round(max(o) OVER () - min(o) OVER (), 9) AS gap FROM r""",

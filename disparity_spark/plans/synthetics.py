@@ -87,7 +87,8 @@ def duplicate_rates(spark, sf_dir):
 def privacy_verdict(spark, sf_dir):
     """Categorical rows of the two halves of the parts; distances between samples of at most 2,000 rows a side, the method's bound."""
     source, synthetic = B.halves(spark, sf_dir, "part", "p_partkey")
-    return privacy.privacy_summary(source, synthetic, ["p_size", "p_retailprice"], ["p_brand"])
+    out = privacy.privacy_summary(source, synthetic, ["p_size", "p_retailprice"], ["p_brand"])
+    return _rounded(out, *[c for c in out.columns if c != "verdict"])
 
 
 def _summaries(spark, sf_dir):
@@ -149,6 +150,18 @@ SELECT round(s, 8) AS median_source_to_source, round(t, 8) AS median_source_to_s
     "duplicate_rates": """WITH k AS (SELECT text, lang, count(*) FILTER (doc_id % 2 = 0) AS s, count(*) FILTER (doc_id % 2 <> 0) AS t FROM documents GROUP BY ALL),
 q AS (SELECT sum(CASE WHEN s > 0 THEN t ELSE 0 END) / sum(t) AS d, sum(CASE WHEN s > 1 THEN s ELSE 0 END) / sum(s) AS o FROM k)
 SELECT round(d, 8) AS duplicate_rate, round(o, 8) AS source_self_duplicate_rate, round(greatest(0, d - o), 8) AS excess_duplicate_rate FROM q""",
+    # Holds while each half has at most the 2,000 rows of a sample: up to sf0.01.
+    "privacy_verdict": """WITH w AS (SELECT p_partkey % 2 AS side, p_partkey AS id, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y, p_brand AS z FROM part),
+m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM w WHERE side = 0), k AS (SELECT z, row_number() OVER (ORDER BY z) - 1 AS code FROM (SELECT DISTINCT z FROM w)),
+f AS (SELECT side, id, (x - mx) / CASE WHEN sx > 0 THEN sx ELSE 1 END AS x, (y - my) / CASE WHEN sy > 0 THEN sy ELSE 1 END AS y, code::DOUBLE AS z FROM w JOIN k USING (z), m),
+n AS (SELECT a.id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) FILTER (b.side <> 0) AS syn, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) FILTER (b.side = 0 AND b.id <> a.id) AS src FROM f a, f b WHERE a.side = 0 GROUP BY a.id),
+q AS (SELECT median(src) AS s, median(syn) AS t, (SELECT avg((syn < (SELECT quantile_cont(src, 0.05) FROM n))::INT::DOUBLE) FROM n) AS mem FROM n),
+c AS (SELECT p_size, p_retailprice, p_brand, count(*) FILTER (p_partkey % 2 = 0) AS s, count(*) FILTER (p_partkey % 2 <> 0) AS t FROM part GROUP BY ALL),
+d AS (SELECT sum(CASE WHEN s > 0 THEN t ELSE 0 END)::DOUBLE / sum(t) AS dup, sum(CASE WHEN s > 1 THEN s ELSE 0 END)::DOUBLE / sum(s) AS own FROM c),
+o AS (SELECT t AS median_source_to_synthetic, s AS median_source_to_source, CASE WHEN s = 0 THEN 0 WHEN t = 0 THEN 1 ELSE least(greatest(1 - t / s, 0), 1) END AS distance_ratio_risk, mem AS memorization_rate, dup AS duplicate_rate, own AS source_self_duplicate_rate, greatest(0, dup - own) AS excess_duplicate_rate FROM q, d),
+r AS (SELECT *, greatest(distance_ratio_risk, memorization_rate, excess_duplicate_rate) AS privacy_risk FROM o)
+SELECT round(median_source_to_synthetic, 8) AS median_source_to_synthetic, round(median_source_to_source, 8) AS median_source_to_source, round(distance_ratio_risk, 8) AS distance_ratio_risk, round(memorization_rate, 8) AS memorization_rate, round(duplicate_rate, 8) AS duplicate_rate,
+round(source_self_duplicate_rate, 8) AS source_self_duplicate_rate, round(excess_duplicate_rate, 8) AS excess_duplicate_rate, round(privacy_risk, 8) AS privacy_risk, CASE WHEN privacy_risk <= 0.2 THEN 'pass' WHEN privacy_risk <= 0.45 THEN 'review' ELSE 'fail' END AS verdict FROM r""",
     "bias_amplification": f"WITH {_both} SELECT metric, round(source, 8) AS source, round(synthetic, 8) AS synthetic, round(delta, 8) AS delta FROM m",
     "amplification_verdict": f"""WITH {_both}, q AS (SELECT max(source) FILTER (metric = 'disparate_impact_ratio') AS s, max(synthetic) FILTER (metric = 'disparate_impact_ratio') AS t, max(delta) FILTER (metric <> 'disparate_impact_ratio') AS g FROM m),
 z AS (SELECT *, CASE WHEN s < 0.9 THEN (1 - t) / (1 - s) END AS f FROM q)
