@@ -55,21 +55,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_known(s: str) -> bool:
-    """Digests, UUIDs and identifiers made of words."""
+def is_known(s: str, encoding, limit: float) -> bool:
+    """Digests, UUIDs and identifiers made of words: stretches of letters between digits are words if the vocabulary has long pieces for them."""
     digest = DIGEST.fullmatch(s)
     if UUID.fullmatch(s) or INTEGRITY.fullmatch(s) or digest and any(len(s) == n or s[:-n].strip("-_=/").lower().startswith(("md5", "sha")) for n in DIGEST_LENGTHS if len(s) >= n):
         return True
     parts = [p for p in SPLIT.split(s) if p]
-    words = sum(len(p) for p in parts if p.isalpha() and len(p) >= 3)
-    return all(PART.fullmatch(p) for p in parts) and words * 4 >= len(s) * 3
+    words = [p for p in parts if p.isalpha() and len(p) >= 3]
+    letters = sum(map(len, words))
+    return all(PART.fullmatch(p) for p in parts) and letters * 4 >= len(s) * 3 and letters >= limit * sum(len(encoding.encode_ordinary(p)) for p in words)
 
 
 def is_random(s: str, encoding, limit: float) -> bool:
     """Letters of one case, or with few capitals, look like a word, so only the vocabulary tells them apart; other strings need digits or capitals among their letters."""
     letters = s.isalpha() and (s.isupper() or sum(c.isupper() for c in s) < 4)
     mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or any(c.islower() for c in s) and sum(c.isupper() for c in s) >= 4
-    return len(s) >= 20 and (letters or mixed and not is_known(s)) and len(s) < limit * len(encoding.encode_ordinary(s))
+    return len(s) >= 20 and (letters or mixed and not is_known(s, encoding, limit)) and len(s) < limit * len(encoding.encode_ordinary(s))
 
 
 def odd_stretches(run: str, encoding, limit: float) -> Iterator[list[tuple[int, int]]]:
@@ -77,7 +78,7 @@ def odd_stretches(run: str, encoding, limit: float) -> Iterator[list[tuple[int,
     stretch = []
     for m in RUN_PART.finditer(run):
         part = m[0]
-        plain = m["known"] or (PART.fullmatch(part) or is_known(part)) and not is_random(part, encoding, limit)
+        plain = m["known"] or (PART.fullmatch(part) or is_known(part, encoding, limit)) and not is_random(part, encoding, limit)
         if not plain and len(part) < limit * len(encoding.encode_ordinary(part)):
             stretch.append(m.span())
         elif len(part) > 3 and stretch:

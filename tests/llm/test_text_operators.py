@@ -93,6 +93,22 @@ def test_scan_and_redact(spark, docs, empty):
     assert secret_scan.scan(empty).count() == 0 and [r.spans for r in secret_scan.scan(docs).filter("spans <> ''").collect()] == ["hex:0:400"]  # 400 times a
 
 
+def test_planted_random_strings_are_found():
+    """Random strings of 20 characters and more in sentences, and names, digests and paths that aren't secrets."""
+    import random
+    import string
+
+    encoding, rng = tokens.tiktoken_encoding(tokens.vocabulary_path("byte_bpe_50k.tiktoken")), random.Random(11)
+    spans = lambda t: [(a, b) for a, k, b in secret_scan.all_spans(t, encoding)[1] if k == 3]
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits):
+        for n in (20, 24, 32, 40):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)]
+            found = sum(any(a <= 11 and b >= 11 + n for a, b in spans(f"the key is {k} as before")) or bool(secret_scan.HEX.search(k)) for k in keys)
+            assert found >= 0.98 * len(keys), (alphabet, n)
+    for plain in ("user_account_settings_page_2", "getElementsByClassName2Handler", "sha256-" + "ab12" * 16, "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "/usr/local/share/applications/readme"):
+        assert spans(f"see {plain} there") == [], plain
+
+
 def license_words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
 
