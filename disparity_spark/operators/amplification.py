@@ -28,6 +28,13 @@ def compared(source: DataFrame, synthetic: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.col("synthetic") - F.col("source"))
 
 
+def compared_sides(sides: DataFrame) -> DataFrame:
+    """The same for one table of summaries with a column `side` (source or synthetic), so that both come from one aggregation."""
+    long = sides.unpivot(["side"], list(METRICS), "metric", "value")
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("value"))).alias(side)
+    return long.groupBy("metric").agg(pick("source"), pick("synthetic")).withColumn("delta", F.col("synthetic") - F.col("source"))
+
+
 def verdict_row(pairs: DataFrame) -> DataFrame:
     """One row: amplification_factor, max_gap_growth, verdict, without intervals. Undefined gaps are skipped."""
     pick = lambda name, side: F.max(F.when(F.col("metric") == name, F.col(side)))

@@ -48,10 +48,10 @@ def require_columns(df: DataFrame, columns) -> None:
         raise ValueError(f"columns not found: {', '.join(missing)}; the table has {', '.join(df.columns)}")
 
 
-def decisions(df: DataFrame, spec: AuditSpec) -> DataFrame:
-    """truth, pred, group; only the role columns are read."""
-    require_columns(df, spec.columns)
-    return df.select(F.col(spec.truth).alias("truth"), F.col(spec.pred or spec.truth).alias("pred"), group_label(*spec.groups).alias("group"))
+def decisions(df: DataFrame, spec: AuditSpec, *by: str) -> DataFrame:
+    """truth, pred, group and the columns `by`; only these and the role columns are read."""
+    require_columns(df, [*spec.columns, *by])
+    return df.select(F.col(spec.truth).alias("truth"), F.col(spec.pred or spec.truth).alias("pred"), group_label(*spec.groups).alias("group"), *by)
 
 
 def _counts() -> list[Column]:
@@ -60,9 +60,9 @@ def _counts() -> list[Column]:
     return [F.count("*").alias("n"), *[F.count_if((t == a) & (p == b)).alias(k) for k, (a, b) in cells.items()], F.count_if(~(is_binary(F.col("truth")) & is_binary(F.col("pred")))).alias("n_invalid")]
 
 
-def confusion(df: DataFrame, spec: AuditSpec) -> DataFrame:
-    """group, n, tp, fp, fn, tn, n_invalid (rows whose truth or pred isn't 0 or 1)."""
-    return decisions(df, spec).groupBy("group").agg(*_counts())
+def confusion(df: DataFrame, spec: AuditSpec, *by: str) -> DataFrame:
+    """group, n, tp, fp, fn, tn, n_invalid (rows whose truth or pred isn't 0 or 1), for each value of `by`."""
+    return decisions(df, spec, *by).groupBy(*by, "group").agg(*_counts())
 
 
 def cube_confusion(df: DataFrame, spec: AuditSpec) -> DataFrame:

@@ -92,11 +92,10 @@ def privacy_verdict(spark, sf_dir):
 
 
 def _summaries(spark, sf_dir):
-    made = []
-    for name in ("pred", "biased"):
-        rows = B.orders(spark, sf_dir).select("truth", F.col(name).alias("pred"), "segment")
-        made.append(D.long_summary(D.summary(D.group_rates(D.confusion(rows, B.ORDER)))))
-    return amplification.compared(*made)
+    """Both predictors of the orders, counted in one pass."""
+    both = F.array(F.struct(F.lit("source").alias("side"), "pred"), F.struct(F.lit("synthetic").alias("side"), F.col("biased").alias("pred")))
+    rows = B.orders(spark, sf_dir).select("truth", "segment", F.explode(both).alias("x")).select("truth", "x.pred", "segment", "x.side")
+    return amplification.compared_sides(D.summary(D.group_rates(D.confusion(rows, B.ORDER, "side")), "side"))
 
 
 def bias_amplification(spark, sf_dir):
