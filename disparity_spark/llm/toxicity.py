@@ -18,6 +18,7 @@ says so; equal texts train once; without both kinds of labels all weights are 0;
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -32,8 +33,9 @@ PREFIXES = range(4, 9)
 #: Labelled documents that training uses at most.
 SAMPLE = 8_000
 FEATURES = 4_000
-#: Documents that a feature must stand in, and how far it must lean to one label, as a likelihood ratio (chi-squared of one degree).
-LEAST, LEAN = 3, 20.0
+#: Documents that a feature must stand in, and how far it must lean to one label: a likelihood ratio (chi-squared of one
+#: degree) of this many times the logarithm of the training documents, as more of them hold more features that lean by chance.
+LEAST, LEAN = 3, 2.4
 STEPS = 300
 RATE = 0.1
 L2 = 5e-5
@@ -81,7 +83,7 @@ def chosen_features(rows: DataFrame, n0: int, n1: int) -> list[str]:
     n, a, b = float(n0 + n1), F.col("a").cast("double"), F.col("b").cast("double")
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (term(b, (a + b) * n1 / n) + term(a, (a + b) * n0 / n) + term(n1 - b, (n - a - b) * n1 / n) + term(n0 - a, (n - a - b) * n0 / n))
-    strong = counted_features(rows).filter(F.col("a") + F.col("b") >= LEAST).withColumn("lean", F.round(ratio, 9)).filter(F.col("lean") > LEAN)
+    strong = counted_features(rows).filter(F.col("a") + F.col("b") >= LEAST).withColumn("lean", F.round(ratio, 9)).filter(F.col("lean") > LEAN * math.log(n))
     return [r.feature for r in strong.orderBy(F.desc("lean"), "feature").limit(FEATURES).collect()]
 
 
