@@ -18,3 +18,10 @@ def test_query_without_sql_gives_rows(spark, small, name):
 def test_entry(spark, small):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("name", "most"), [("ks_statistic", 2), ("fidelity_verdict", 6), ("bias_amplification", 4), ("amplification_verdict", 4)])
+def test_scans(spark, small, name, most):
+    """A table is read once for each side, not again for every step (as planned; reuse at run time may save more)."""
+    plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().simpleString()
+    assert 0 < plan.count("FileScan parquet") <= most
