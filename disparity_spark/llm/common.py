@@ -51,6 +51,13 @@ def only(big: DataFrame, ids: DataFrame, on: str, rows: int | None = None) -> Da
     return join_small(big, ids, on, "left_semi", rows, BROADCAST_IDS)
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut to few rows, so that only that many texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string column (null: empty) as one byte array and n + 1 offsets, without copying row by row."""
     import pyarrow as pa

@@ -259,7 +259,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
         compiled = [(rule, rule.pattern) for rule in rules()]
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-        for batch in it:
+        for batch in common.sliced(it):
             lines = [words_of(t or "") for t in batch.column(1).to_pylist()]
             rows = [summarized(line, detect(line, compiled)) for line in lines]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)

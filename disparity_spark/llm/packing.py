@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
         import pyarrow as pa
 
         encode = CachedEncoder(*paths)
-        for batch in it:
+        for batch in common.sliced(it):
             ids, starts, lengths, sums, totals = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = memoryview(encode(text or "") + end)

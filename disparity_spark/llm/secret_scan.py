@@ -17,7 +17,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +122,7 @@ def scan(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_PE
         import pyarrow as pa
 
         encoding = tiktoken_encoding(path)
-        for batch in it:
+        for batch in common.sliced(it):
             rows = [all_spans(t or "", encoding, limit) for t in batch.column(1).to_pylist()]
             counts = [[sum(s[1] == k for s in spans) for _, spans in rows] for k in range(4)]
             yield pa.RecordBatch.from_arrays(
@@ -151,14 +150,18 @@ def redact(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_
     """docs with every secret replaced by a mark; other columns and rows stay (n_chars is recounted where there is one)."""
     path = vocabulary or vocabulary_path("byte_bpe_50k.tiktoken")
 
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = tiktoken_encoding(path)
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else redacted(t, all_spans(t, encoding, limit)[1]))
+    schema = docs.schema
+
+    def clean(it):
+        import pyarrow as pa
+
+        encoding, at = tiktoken_encoding(path), schema.names.index("text")
+        for batch in common.sliced(it):
+            texts = [None if t is None else redacted(t, all_spans(t, encoding, limit)[1]) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    clean = F.pandas_udf(clean, "string")
-    out = docs.withColumn("text", clean(F.col("text")))
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = docs.mapInArrow(clean, schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def query(spark, sf_dir):

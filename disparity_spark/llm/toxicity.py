@@ -66,7 +66,7 @@ def counted_features(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         counts: dict[str, list[int]] = {}
-        for batch in it:
+        for batch in common.sliced(it):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for f in {f for w in document_words(text) for f in features(w)}:
                     counts.setdefault(f, [0, 0])[label] += 1
@@ -94,7 +94,7 @@ def bags(rows: DataFrame, names: list[str]) -> DataFrame:
         import pyarrow as pa
 
         index = {f: i for i, f in enumerate(names)}
-        for batch in it:
+        for batch in common.sliced(it):
             packed = []
             for text in batch.column(0).to_pylist():
                 found, n = [], 0
@@ -140,7 +140,7 @@ def train(labels: list[int], data: list[bytes], names: list[str]) -> tuple[float
 class Scorer:
     """(score, start, end, sentence score) of a text: the noisy-or and the worst sentence."""
 
-    CACHE = 300_000
+    CACHE = 100_000
 
     def __init__(self, bias: float, weights: dict[str, float]):
         self.bias, self.weights, self.cache = bias, weights, {}
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
         import pyarrow as pa
 
         scorer = Scorer(*model)
-        for batch in it:
+        for batch in common.sliced(it):
             rows = [scorer(t or "") for t in batch.column(1).to_pylist()]
             s, a, b, w = zip(*rows, strict=True) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score"])
@@ -210,7 +210,7 @@ def drop_toxic(docs: DataFrame, model: tuple[float, dict[str, float]], limit: fl
         import pyarrow as pa
 
         scorer, at = Scorer(*model), schema.names.index("text")
-        for batch in it:
+        for batch in common.sliced(it):
             yield batch.filter(pa.array([scorer(t or "")[0] < limit for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(batches, schema)
