@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
     def batches(it):
         import pyarrow as pa
 
+        common.lean()
         encode = CachedEncoder(*paths)
         for batch in common.sliced(it):
             ids, starts, lengths, sums, totals = [], [], [], [], []

@@ -121,6 +121,7 @@ def scan(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_PE
     def batches(it):
         import pyarrow as pa
 
+        common.lean()
         encoding = tiktoken_encoding(path)
         for batch in common.sliced(it):
             rows = [all_spans(t or "", encoding, limit) for t in batch.column(1).to_pylist()]
@@ -155,6 +156,7 @@ def redact(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_
     def clean(it):
         import pyarrow as pa
 
+        common.lean()
         encoding, at = tiktoken_encoding(path), schema.names.index("text")
         for batch in common.sliced(it):
             texts = [None if t is None else redacted(t, all_spans(t, encoding, limit)[1]) for t in batch.column(at).to_pylist()]

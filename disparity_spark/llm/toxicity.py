@@ -65,6 +65,7 @@ def counted_features(rows: DataFrame) -> DataFrame:
     def batches(it):
         import pyarrow as pa
 
+        common.lean()
         counts: dict[str, list[int]] = {}
         for batch in common.sliced(it):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -93,6 +94,7 @@ def bags(rows: DataFrame, names: list[str]) -> DataFrame:
     def batches(it):
         import pyarrow as pa
 
+        common.lean()
         index = {f: i for i, f in enumerate(names)}
         for batch in common.sliced(it):
             packed = []
@@ -192,6 +194,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
     def batches(it):
         import pyarrow as pa
 
+        common.lean()
         scorer = Scorer(*model)
         for batch in common.sliced(it):
             rows = [scorer(t or "") for t in batch.column(1).to_pylist()]
@@ -209,6 +212,7 @@ def drop_toxic(docs: DataFrame, model: tuple[float, dict[str, float]], limit: fl
     def batches(it):
         import pyarrow as pa
 
+        common.lean()
         scorer, at = Scorer(*model), schema.names.index("text")
         for batch in common.sliced(it):
             yield batch.filter(pa.array([scorer(t or "")[0] < limit for t in batch.column(at).to_pylist()], pa.bool_()))
